@@ -1,0 +1,11 @@
+"""Operators for preparing training data; nothing else in calyxa imports this subpackage.
+
+Functions that run in Python workers are sent by value, so executors need no copy of
+this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
