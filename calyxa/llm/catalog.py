@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup",)
+MODULES = ("near_dedup", "chat_format", "decontaminate", "class_lm", "warc", "language_id", "embedding_dedup")
 
 
 def queries() -> dict:

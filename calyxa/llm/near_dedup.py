@@ -7,10 +7,11 @@
 3. Star-shaped candidates: in every bucket all nodes are paired with one centre only,
    the node with most copies.  Pairs are confirmed on the full sets.
 4. Stars alone may miss a link between two nodes that are both far from the centre, so
-   buckets that still hold several components are met again: only nodes outside the
-   centre's component, only against nodes of other components, and only where the
-   sizes, the sketches and the exact distances to the shared centre (Jaccard distance is a
-   metric) allow a link.  After that no two nodes of a bucket are left undecided.
+   the nodes of buckets that still hold several components are met again, exactly: linked
+   sets share one of the rarest shingles of each (prefix filtering), and only pairs of
+   different components are confirmed, and only where the sizes, the sketches and the
+   exact distances to a shared centre (Jaccard distance is a metric) allow a link.
+   After that no two nodes of a bucket are left undecided.
 5. Connected components over the confirmed links.
 
 Hot groups: buckets are reduced by partial aggregation; pairs are confirmed in cells of
@@ -39,6 +40,8 @@ from calyxa.llm.words import WordHashes, column_bytes, mix, shingle_set, signed,
 SKETCH_BITS = 256
 #: Nodes of a cell on either side.
 CELL = 256
+#: Families of more than one cell that are still broadcast.
+MAX_BROADCAST_FAMILIES = 50_000
 
 
 @dataclass(frozen=True)
@@ -212,8 +215,15 @@ def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
         F.ceil(F.approx_count_distinct("a") / CELL).cast("int").alias("sa"),
         F.ceil(F.approx_count_distinct("b") / CELL).cast("int").alias("sb"),
     )
-    dealt = pairs.join(sizes, "family").select(
-        "a", "b", F.xxhash64("family", F.pmod(F.xxhash64("a"), "sa"), F.pmod(F.xxhash64("b"), "sb")).alias("cell")
+    large = scratch.table(sizes.where("sa > 1 or sb > 1"), f"{name}-large")
+    few = large.count() <= MAX_BROADCAST_FAMILIES
+    one = F.lit(1)
+    dealt = pairs.join(F.broadcast(large) if few else large, "family", "left").select(
+        "a",
+        "b",
+        F.xxhash64(
+            "family", F.pmod(F.xxhash64("a"), F.coalesce("sa", one)), F.pmod(F.xxhash64("b"), F.coalesce("sb", one))
+        ).alias("cell"),
     )
     members = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", F.col("b").alias("node"))).distinct()
     with_sets = members.join(sets, "node").select(F.col("cell").alias("in_cell"), "node", "set")
@@ -222,31 +232,59 @@ def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
     )
 
 
-def _undecided(shared: DataFrame, tested: DataFrame, labels: DataFrame, p: NearDedup) -> DataFrame:
-    """Pairs (a, b, family) of a bucket in different components that stars did not decide."""
+def _shingle_rows(sets: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(1).to_pylist()
+            nodes = np.repeat(np.array(batch.column(0)), [len(x) // 8 for x in raw])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["node", "shingle"]
+            )
+
+    return sets.select("node", "set").mapInArrow(run, "node long, shingle long")
+
+
+def _undecided(shared: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, family) of different components that stars did not decide and that may be linked.
+
+    Nodes of buckets that hold several components are met by prefix filtering: in order
+    of rarity among these nodes, two linked sets share one of the first
+    n - ceil(s n) + 1 shingles of each, so only those are joined.
+    """
     far = tested.select(F.col("a").alias("c_node"), F.col("b").alias("m_node"), (1 - F.col("both") / F.col("either")).alias("far"))
     flat = shared.select("bucket", "m", F.col("m.node").alias("m_node"), F.col("c.node").alias("c_node"))
-    placed = (
+    placed = scratch.table(
         flat.join(labels.toDF("m_node", "m_label"), "m_node", "left")
         .join(labels.toDF("c_node", "c_label"), "c_node", "left")
         .join(far, ["c_node", "m_node"], "left")
-        .where("m_node != c_node")
-        .select(
-            "bucket",
-            F.struct("m.*", F.coalesce("m_label", "m_node").alias("label"), "far").alias("m"),
-            "c_node",
-            F.coalesce("c_label", "c_node").alias("c_label"),
-        )
+        .select("bucket", "m", F.coalesce("m_label", "m_node").alias("label"), F.coalesce("c_label", "c_node").alias("c_label"), "c_node", "far"),
+        "placed",
+    )
+    mixed = placed.where("label != c_label").select("bucket").distinct()
+    nodes = scratch.table(
+        placed.join(mixed, "bucket", "left_semi")
+        .groupBy(F.col("m.node").alias("node"))
+        .agg(F.first("m").alias("m"), F.first("label").alias("label"), F.min(F.struct("c_node", "far")).alias("c")),
+        "mixed",
+    )
+    shingles = scratch.table(_shingle_rows(sets.join(nodes.select("node"), "node", "left_semi")), "mixed-shingles")
+    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    ordered = shingles.join(common.where("df > 1"), "shingle", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s")
+    )
+    length = F.size("s") - F.ceil(F.size("s") * p.num / p.den - 1e-9).cast("int") + 1
+    prefix = ordered.select("node", F.explode(F.slice("s", F.lit(1), length)).alias("t")).where("t.df > 1")
+    met = scratch.table(prefix.select("node", "t.shingle").join(nodes, "node"), "mixed-prefixes")
+    x = met.select("shingle", F.struct("m.*", "label", F.col("c.c_node").alias("c"), "c.far").alias("x"))
+    y = met.select("shingle", F.struct("m.*", "label", F.col("c.c_node").alias("c"), "c.far").alias("y"))
+    near = (F.col("x.c") != F.col("y.c")) | F.coalesce(
+        F.abs(F.col("x.far") - F.col("y.far")) <= 1 - p.num / p.den + 1e-9, F.lit(True)
     )
-    left = placed.where("m.label != c_label").select("bucket", F.col("m").alias("x"), "c_node", "c_label")
-    right = placed.select("bucket", F.col("m").alias("y"))
-    near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - p.num / p.den + 1e-9, F.lit(True))
-    once = (F.col("y.label") == F.col("c_label")) | (F.col("x.node") < F.col("y.node"))
     return (
-        left.join(right, "bucket")
-        .where((F.col("x.label") != F.col("y.label")) & once & near & _may_link(p, "x", "y"))
+        x.join(y, "shingle")
+        .where((F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & near & _may_link(p, "x", "y"))
         .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.min("c_node").alias("family"))
+        .agg(F.min(F.least("x.label", "y.label")).alias("family"))
     )
 
 
@@ -289,7 +327,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFram
     tested = scratch.table(_confirm(star, sets, scratch, "star").withColumn("linked", linked), "tested")
     labels = connected_components(tested.where("linked").select("a", "b"), scratch, "cc")
 
-    rest = _undecided(shared, tested, labels, p)
+    rest = _undecided(shared, tested, labels, sets, p, scratch)
     again = scratch.table(_confirm(rest, sets, scratch, "rest").where(linked).select("a", "b"), "tested-rest")
     if not again.isEmpty():
         labels = connected_components(tested.where("linked").select("a", "b").union(again), scratch, "cc-rest")
@@ -302,7 +340,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFram
         ).select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")),
         "components",
     )
-    scratch.drop("shared", "sets", "star-pairs", "rest-pairs", "tested", "tested-rest")
+    scratch.drop("shared", "sets", "star-pairs", "rest-pairs", "tested", "tested-rest", "placed", "mixed", "mixed-shingles", "mixed-prefixes")
     return (
         signed_rows.select("doc_id", "k1", "k2", "n")
         .join(of_class, ["k1", "k2", "n"], "left")
