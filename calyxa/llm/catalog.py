@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("near_dedup", "chat_format", "decontaminate", "class_lm", "warc", "language_id", "embedding_dedup")
+MODULES = (
+    "near_dedup",
+    "chat_format",
+    "mixing",
+    "decontaminate",
+    "pii",
+    "class_lm",
+    "quality",
+    "warc",
+    "language_id",
+    "embedding_dedup",
+)
 
 
 def queries() -> dict:
