@@ -12,7 +12,8 @@ round is written to the shared folder, so the plan of a round does not grow.
 Edge cases: null source, language, topic count as the value ''; null or blank text has
 no tokens (a value without tokens keeps factor 1); targets for values that do not occur
 are shared out among those that do; a null doc_id is sampled like the id ''; repeated
-rows are sampled alike; an empty table gives an empty result; other columns stay as they are.
+rows are sampled alike; an empty table gives an empty result; other columns stay as they
+are, but those that begin with mix_ and are named below are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from calyxa.llm.scratch import Scratch
 DIMS = ("source", "lang", "topic")
 ROUNDS = 12
 #: Shares of the registered query: the tokens of a value to this power.
-TEMPER = 0.5
+TEMPER = 0.7
 SEED = "calyxa"
 
 
@@ -115,12 +116,12 @@ def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, targets: Da
     for d in DIMS:
         weighed = weighed.join(_factor(factors, d), d)
     weighed = weighed.withColumn("mix_weight", F.col("f_source") * F.col("f_lang") * F.col("f_topic"))
-    weighed = scratch.table(weighed.select(*[F.col(d).alias(f"k_{d}") for d in DIMS], "mix_weight").coalesce(1), "weights")
+    weighed = scratch.table(weighed.select(*[F.col(d).alias(f"__k_{d}") for d in DIMS], "mix_weight").coalesce(1), "weights")
     most = weighed.agg(F.max("mix_weight")).first()[0] or 1.0
-    on = [c == F.col(f"k_{d}") for d, c in keys.items()]
+    on = [c == F.col(f"__k_{d}") for d, c in keys.items()]
     return (
         rows.join(weighed, on, "left")
-        .drop(*[f"k_{d}" for d in DIMS])
+        .drop(*[f"__k_{d}" for d in DIMS])
         .withColumn("mix_probability", F.col("mix_weight") / F.lit(most))
         .withColumn("mix_sampled", uniform(F.col("doc_id")) < F.col("mix_probability"))
     )

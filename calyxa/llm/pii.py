@@ -26,6 +26,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from calyxa.llm.scratch import free_name
 
 #: For tests and the registered query only; callers pass a secret of their own.
 DEMO_KEY = b"calyxa demonstration key"
@@ -232,8 +235,7 @@ class Pseudonyms:
 
 def pseudonymise(docs: DataFrame, key: bytes, kinds: str | None = None) -> DataFrame:
     """docs with pseudonyms in `text`; with `kinds`, a column of that name lists the kinds replaced."""
-    schema = docs.schema
-    if kinds in schema.names:
+    if kinds and free_name(docs, kinds) != kinds:
         raise ValueError(f"docs already has a column named {kinds}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,8 +250,8 @@ def pseudonymise(docs: DataFrame, key: bytes, kinds: str | None = None) -> DataF
                 names.append(kinds)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema]
-    return docs.mapInArrow(run, ", ".join([*fields, *([f"`{kinds}` array<string>"] if kinds else [])]))
+    extra = [T.StructField(kinds, T.ArrayType(T.StringType()))] if kinds else []
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from calyxa.llm.class_lm import crc_mod
+from calyxa.llm.scratch import free_name
 from calyxa.llm.words import CACHE_WORDS, column_bytes, mix, ngram_hashes
 
 BUCKETS = 1 << 18
@@ -128,12 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
     return weights
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with `score`, from 0 to 1, of the whole text; all other columns stay."""
+def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFrame:
+    """docs with the score of the whole text, from 0 to 1, in a new column; all other columns stay."""
+    if free_name(docs, name) != name:
+        raise ValueError(f"docs already has a column named {name}")
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = docs.schema
-    if "score" in schema.names:
-        raise ValueError("docs already has a column named score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, forms = sent.value, Forms()
@@ -143,9 +144,9 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                 at, x = features(text, forms)
                 logits[i] = w[-1] + w[at] @ x
             p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "score double"]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def held_out(doc_id):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyxa.llm import decontaminate, mixing, near_dedup, pii, quality
-from calyxa.llm.scratch import Scratch
+from calyxa.llm.scratch import Scratch, free_name
 
 #: A document is rejected if its score is below this.
 MIN_QUALITY = 0.5
@@ -19,7 +19,8 @@ MIN_QUALITY = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, weights).where(F.col("score") >= MIN_QUALITY).drop("score")
+    name = free_name(docs, "score")
+    return quality.score(docs, weights, name).where(F.col(name) >= MIN_QUALITY).drop(name)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     # a key that a second scan makes again, whatever the splits
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs.withColumn("row", key), benchmark, Scratch(spark, "pipeline-leaks"))
-    hit = found.where(F.size("spans") > 0).select("row").distinct()
-    return docs.withColumn("row", key).join(hit, "row", "left_anti").select(*docs.columns)
+    rows = docs.select(key.alias("row"), "doc_id", "text")
+    found = decontaminate.contamination(rows, benchmark, Scratch(spark, "pipeline-leaks"))
+    name = free_name(docs, "row")
+    hit = found.where(F.size("spans") > 0).select(F.col("row").alias(name)).distinct()
+    return docs.withColumn(name, key).join(hit, name, "left_anti").select(*docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
