@@ -2,16 +2,16 @@
 
 1. One pass over the whole texts: the set of word shingles, a one-permutation hash of
    it with optimal densification (an empty bin copies the first non-empty bin in its
-   own fixed random order of bins), banded into bucket keys, and a 256-bit sketch.
+   own fixed random order of bins), banded into bucket keys.
 2. Equal sets are one node (their copies are never expanded).
 3. Star-shaped candidates: in every bucket all nodes are paired with one centre only,
    the node with most copies.  Pairs are confirmed on the full sets.
-4. Stars alone may miss a link between two nodes that are both far from the centre, so
-   the nodes of buckets that still hold several components are met again, exactly: linked
-   sets share one of the rarest shingles of each (prefix filtering), and only pairs of
-   different components are confirmed, and only where the sizes, the sketches and the
-   exact distances to a shared centre (Jaccard distance is a metric) allow a link.
-   After that no two nodes of a bucket are left undecided.
+4. Stars alone may miss a link between two nodes u, v of a bucket that are in different
+   components, so one of them is not linked to the centre c.  Such a link is found exactly:
+   either u and v share shingles that c lacks, and they are joined on the rarest of those
+   (prefix filtering); or all they share is in c, so that both |u & c| and |v & c|, which are known, must reach
+   the overlap that a link needs, which for u leaves few sizes of v.  Only pairs found by
+   either are confirmed.  After that no two nodes of a bucket are left undecided.
 5. Connected components over the confirmed links.
 
 Hot groups: buckets are reduced by partial aggregation; pairs are confirmed in cells of
@@ -30,14 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyxa.llm.components import connected_components
 from calyxa.llm.scratch import Scratch
 from calyxa.llm.words import WordHashes, column_bytes, mix, shingle_set, signed, split_words
 
-SKETCH_BITS = 256
 #: Nodes of a cell on either side.
 CELL = 256
 #: Families of more than one cell that are still broadcast.
@@ -63,12 +62,6 @@ class NearDedup:
     def bins(self) -> int:
         return self.rows * self.bands
 
-    @property
-    def max_sketch_bits(self) -> int:
-        """Differing sketch bits that a linked pair exceeds with a probability under 1e-6."""
-        p = (1 - self.num / self.den) / 2
-        return int(SKETCH_BITS * p + 5.5 * (SKETCH_BITS * p * (1 - p)) ** 0.5) + 1
-
 
 #: The fixed contract of op1: three words, 85 of 100.
 CONTRACT = NearDedup(words=3, num=85, den=100, rows=5, bands=26)
@@ -84,8 +77,6 @@ class _Signer:
         self.bounds = np.array([(i << 64) // k for i in range(k)], np.uint64)
         self.order = np.argsort(rng.random((k, k)), axis=1).argsort(axis=1).astype(np.int32)
         self.band = rng.integers(1, 2**63, p.bands, np.uint64)
-        self.sketch_bin = np.arange(SKETCH_BITS) % k
-        self.sketch_shift = (np.arange(SKETCH_BITS) // k).astype(np.uint64)
 
     def bins(self, s: np.ndarray) -> np.ndarray:
         """One value per bin of the sorted, non-empty set s."""
@@ -99,13 +90,12 @@ class _Signer:
             values[empty] = values[there[self.order[np.ix_(empty, there)].argmin(1)]]
         return values
 
-    def sign(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = mix(self.bins(s))
+    def buckets(self, s: np.ndarray) -> np.ndarray:
+        """One key per band."""
         key = self.band.copy()
-        for column in v.reshape(self.p.bands, self.p.rows).T:
+        for column in mix(self.bins(s)).reshape(self.p.bands, self.p.rows).T:
             key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-        bits = (mix(v)[self.sketch_bin] >> self.sketch_shift) & np.uint64(1)
-        return key, np.packbits(bits.astype(np.uint8)).view(np.uint64)
+        return key
 
 
 def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
@@ -113,47 +103,32 @@ def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return np.add.reduce(mix(s), dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(1)))
 
 
-_SIGNED = "doc_id long, n long, k1 long, k2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
-
-
 def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """doc_id, set size n, set fingerprint (k1, k2), sketch and bucket keys of every row."""
+    """doc_id, set size n, set fingerprint (k1, k2) and bucket keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = WordHashes(), _Signer(p)
         for batch in batches:
-            n, k1, k2, sketch, bands = [], [], [], [], []
+            n, k1, k2, keys = [], [], [], []
             for text in column_bytes(batch, "text"):
                 s = shingle_set(words.of(split_words(text)), p.words)
-                n.append(len(s))
-                if len(s):
-                    key, bits = signer.sign(s)
-                    one, two = fingerprint(s)
-                    k1.append(one), k2.append(two)
-                    sketch.append(signed(bits))
-                    bands.append(signed(key))
-                else:
-                    k1.append(np.uint64(0)), k2.append(np.uint64(0))
-                    sketch.append(np.zeros(4, np.int64))
-                    bands.append(np.zeros(0, np.int64))
-            bits = np.array(sketch, np.int64).reshape(-1, 4)
-            lengths = np.cumsum([0, *map(len, bands)])
+                one, two = fingerprint(s)
+                n.append(len(s)), k1.append(one), k2.append(two)
+                keys.append(signed(signer.buckets(s)) if len(s) else np.zeros(0, np.int64))
+            lengths = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
                     pa.array(np.array(n, np.int64)),
                     pa.array(signed(np.array(k1, np.uint64))),
                     pa.array(signed(np.array(k2, np.uint64))),
-                    *(pa.array(np.ascontiguousarray(bits[:, i])) for i in range(4)),
-                    pa.ListArray.from_arrays(
-                        pa.array(lengths.astype(np.int32)),
-                        pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)),
-                    ),
+                    pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))),
                 ],
-                names=["doc_id", "n", "k1", "k2", "s0", "s1", "s2", "s3", "bands"],
+                names=["doc_id", "n", "k1", "k2", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNED)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _shingle_sets(rows: DataFrame, p: NearDedup) -> DataFrame:
@@ -176,37 +151,44 @@ def _shingle_sets(rows: DataFrame, p: NearDedup) -> DataFrame:
     return rows.select("node", "text").mapInArrow(run, "node long, set binary")
 
 
-def _may_link(p: NearDedup, a: str, b: str) -> Column:
-    """Sizes and sketches allow a link between the structs a and b."""
-    n = [F.col(f"{x}.n") for x in (a, b)]
-    differing = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (F.least(*n) * p.den >= F.greatest(*n) * p.num) & (differing <= p.max_sketch_bits)
+def _sets_of(nodes: pa.Table) -> dict[int, np.ndarray]:
+    return {k: np.frombuffer(x, np.uint64) for k, x in zip(nodes["node"].to_pylist(), nodes["set"].to_pylist(), strict=True)}
+
+
+def _in(own: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
 
 
-def _overlaps(key, pairs: pa.Table, nodes: pa.Table) -> pa.Table:
-    """Sizes of the intersections of the pairs of one cell; every set is there once."""
-    at = {k: i for i, k in enumerate(nodes["node"].to_pylist())}
-    sets = [np.frombuffer(x, np.uint64) for x in nodes["set"].to_pylist()]
+def _overlaps(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
+    """Sizes of the pairs of one cell and of their intersections; every set is there once."""
+    sets = _sets_of(nodes)
     a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
     by: dict[int, list[int]] = {}
     for i, x in enumerate(a):
         by.setdefault(x, []).append(i)
     both = np.zeros(len(a), np.int64)
-    size = np.array([len(x) for x in sets], np.int64)
-    union = np.array([size[at[x]] + size[at[y]] for x, y in zip(a, b, strict=True)], np.int64)
     for x, mine in by.items():
-        own = sets[at[x]]
         for i in range(0, len(mine), 64):
             some = mine[i : i + 64]
-            others = [sets[at[b[j]]] for j in some]
-            joined = np.concatenate(others)
-            found = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            others = [sets[b[j]] for j in some]
+            found = _in(sets[x], np.concatenate(others))
             both[some] = np.add.reduceat(found, np.cumsum([0, *map(len, others[:-1])]), dtype=np.int64)
-    return pa.table({"a": pairs["a"], "b": pairs["b"], "both": pa.array(both), "either": pa.array(union - both)})
+    sizes = [pa.array([len(sets[x]) for x in side], pa.int64()) for side in (a, b)]
+    return pa.table({"a": pairs["a"], "b": pairs["b"], "na": sizes[0], "nb": sizes[1], "both": pa.array(both)})
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """pairs(a, b, family) -> (a, b, both, either): sizes of intersection and union of the full sets.
+def _added(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
+    """(a, b, shingle): what b has and a lacks."""
+    sets = _sets_of(nodes)
+    a, b = pairs["a"].to_pylist(), pairs["b"].to_pylist()
+    new = [sets[y][~_in(sets[x], sets[y])] for x, y in zip(a, b, strict=True)]
+    times = [len(x) for x in new]
+    ends = [np.repeat(np.array(side, np.int64), times) for side in (a, b)]
+    return pa.table({"a": ends[0], "b": ends[1], "shingle": pa.array(signed(np.concatenate(new)))})
+
+
+def _by_cells(pairs: DataFrame, sets: DataFrame, f, schema: str, scratch: Scratch, name: str) -> DataFrame:
+    """f on the pairs(a, b, family) and the sets of their nodes, cell by cell.
 
     A family is dealt to cells of about CELL x CELL nodes; a cell gets each of its sets once.
     """
@@ -227,65 +209,61 @@ def _confirm(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
     )
     members = dealt.select("cell", F.col("a").alias("node")).union(dealt.select("cell", F.col("b").alias("node"))).distinct()
     with_sets = members.join(sets, "node").select(F.col("cell").alias("in_cell"), "node", "set")
-    return dealt.groupBy("cell").cogroup(with_sets.groupBy("in_cell")).applyInArrow(
-        _overlaps, "a long, b long, both long, either long"
-    )
-
-
-def _shingle_rows(sets: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column(1).to_pylist()
-            nodes = np.repeat(np.array(batch.column(0)), [len(x) // 8 for x in raw])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes), pa.array(np.frombuffer(b"".join(raw), np.int64))], names=["node", "shingle"]
-            )
+    return dealt.groupBy("cell").cogroup(with_sets.groupBy("in_cell")).applyInArrow(f, schema)
 
-    return sets.select("node", "set").mapInArrow(run, "node long, shingle long")
 
+_PAIR = "a long, b long, na long, nb long, both long"
 
-def _undecided(shared: DataFrame, tested: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, family) of different components that stars did not decide and that may be linked.
 
-    Nodes of buckets that hold several components are met by prefix filtering: in order
-    of rarity among these nodes, two linked sets share one of the first
-    n - ceil(s n) + 1 shingles of each, so only those are joined.
-    """
-    far = tested.select(F.col("a").alias("c_node"), F.col("b").alias("m_node"), (1 - F.col("both") / F.col("either")).alias("far"))
-    flat = shared.select("bucket", "m", F.col("m.node").alias("m_node"), F.col("c.node").alias("c_node"))
-    placed = scratch.table(
-        flat.join(labels.toDF("m_node", "m_label"), "m_node", "left")
-        .join(labels.toDF("c_node", "c_label"), "c_node", "left")
-        .join(far, ["c_node", "m_node"], "left")
-        .select("bucket", "m", F.coalesce("m_label", "m_node").alias("label"), F.coalesce("c_label", "c_node").alias("c_label"), "c_node", "far"),
-        "placed",
-    )
-    mixed = placed.where("label != c_label").select("bucket").distinct()
-    nodes = scratch.table(
-        placed.join(mixed, "bucket", "left_semi")
-        .groupBy(F.col("m.node").alias("node"))
-        .agg(F.first("m").alias("m"), F.first("label").alias("label"), F.min(F.struct("c_node", "far")).alias("c")),
-        "mixed",
+def _undecided(tested: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b, family) of a bucket in different components that may be linked."""
+    families = scratch.table(
+        tested.select("a", "b", "nb", "both")
+        .join(labels.toDF("a", "la"), "a", "left")
+        .join(labels.toDF("b", "lb"), "b", "left")
+        .select("a", "b", "nb", "both", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")),
+        "families",
     )
-    shingles = scratch.table(_shingle_rows(sets.join(nodes.select("node"), "node", "left_semi")), "mixed-shingles")
-    common = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ordered = shingles.join(common.where("df > 1"), "shingle", "left").groupBy("node").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s")
+    apart = families.where("la != lb").select("a").distinct()
+    mixed = scratch.table(families.join(apart, "a", "left_semi"), "mixed")
+    u = mixed.where("la != lb").select("a", F.col("b").alias("u"), F.col("lb").alias("lu"), F.col("nb").alias("nu"), F.col("both").alias("bu"))
+    v = mixed.select("a", F.col("b").alias("v"), F.col("lb").alias("lv"), F.col("nb").alias("nv"), F.col("both").alias("bv"))
+    num, den = p.num, p.den
+
+    # all that u and v share is in the centre: the sizes of v that u's overlap with it allows
+    low = F.ceil(F.col("nu") * num / den - 1e-9).cast("long")
+    high = F.floor((F.col("bu") * (num + den) - F.col("nu") * num) / num + 1e-9).cast("long")
+    sized = u.withColumn("low", low).withColumn("high", high).where("low <= high")
+    sized = sized.withColumn("nv", F.explode(F.sequence("low", "high")))
+    inside = sized.join(v, ["a", "nv"]).where(
+        (F.col("lu") != F.col("lv")) & (F.col("bv") * (num + den) >= (F.col("nu") + F.col("nv")) * num)
     )
-    length = F.size("s") - F.ceil(F.size("s") * p.num / p.den - 1e-9).cast("int") + 1
-    prefix = ordered.select("node", F.explode(F.slice("s", F.lit(1), length)).alias("t")).where("t.df > 1")
-    met = scratch.table(prefix.select("node", "t.shingle").join(nodes, "node"), "mixed-prefixes")
-    x = met.select("shingle", F.struct("m.*", "label", F.col("c.c_node").alias("c"), "c.far").alias("x"))
-    y = met.select("shingle", F.struct("m.*", "label", F.col("c.c_node").alias("c"), "c.far").alias("y"))
-    near = (F.col("x.c") != F.col("y.c")) | F.coalesce(
-        F.abs(F.col("x.far") - F.col("y.far")) <= 1 - p.num / p.den + 1e-9, F.lit(True)
-    )
-    return (
-        x.join(y, "shingle")
-        .where((F.col("x.label") != F.col("y.label")) & (F.col("x.node") < F.col("y.node")) & near & _may_link(p, "x", "y"))
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .agg(F.min(F.least("x.label", "y.label")).alias("family"))
+
+    # they share shingles that the centre lacks: r at least, as they share no more of the centre than
+    # u does; so, by rarity in the family, one of the first m - r + 1 of u's m such shingles that others have
+    pairs = mixed.select("a", "b", F.col("a").alias("family"))
+    added = scratch.table(_by_cells(pairs, sets, _added, "a long, b long, shingle long", scratch, "added"), "added")
+    common = added.groupBy("a", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    listed = (
+        added.join(common, ["a", "shingle"])
+        .groupBy("a", "b")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+        .withColumn("m", F.size("s"))
+        .join(mixed.select("a", "b", "lb", "nb", "both"), ["a", "b"])
     )
+    needed = F.greatest(F.lit(1), F.ceil(F.col("nb") * num / den - 1e-9).cast("int") - F.col("both").cast("int"))
+    first = listed.withColumn("k", F.col("m") - needed + 1).where("k > 0")
+    first = first.select("a", "b", "lb", "nb", (F.col("both") + F.col("m")).alias("most"), F.explode(F.slice("s", F.lit(1), F.col("k"))["shingle"]).alias("shingle"))
+    met = scratch.table(first, "met")
+    several = met.groupBy("a", "shingle").agg(F.min("lb").alias("l0"), F.max("lb").alias("l1")).where("l0 != l1")
+    met = met.join(several.select("a", "shingle"), ["a", "shingle"], "left_semi")
+    x = met.select("a", "shingle", F.col("b").alias("u"), F.col("lb").alias("lu"), F.col("nb").alias("nu"), F.col("most").alias("mu"))
+    y = met.select("a", "shingle", F.col("b").alias("v"), F.col("lb").alias("lv"), F.col("nb").alias("nv"), F.col("most").alias("mv"))
+    near = F.least("mu", "mv") * (num + den) >= (F.col("nu") + F.col("nv")) * num
+    outside = x.join(y, ["a", "shingle"]).where((F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v")) & near)
+
+    found = inside.select("a", "u", "v").union(outside.select("a", "u", "v"))
+    return found.groupBy(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).agg(F.min("a").alias("family")).toDF("a", "b", "family")
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
@@ -299,36 +277,38 @@ def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFram
     nodes = (
         sized.join(classes.withColumnRenamed("rep", "doc_id"), ["k1", "k2", "n", "doc_id"])
         .dropDuplicates(["k1"])
-        .select(F.col("k1").alias("node"), "n", "copies", "s0", "s1", "s2", "s3", "bands")
+        .select(F.col("k1").alias("node"), "copies", "bands")
     )
     rows = scratch.table(
         nodes.select(
             F.explode("bands").alias("bucket"),
-            F.struct((-F.col("copies")).alias("rank"), "node", "n", "s0", "s1", "s2", "s3").alias("m"),
+            (-F.col("copies")).alias("rank"),
+            "node",
         ),
         "buckets",
     )
-    centres = rows.groupBy("bucket").agg(F.min("m").alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = scratch.table(rows.join(centres, "bucket").select("bucket", "m", "c"), "shared")
+    centre = F.min(F.struct("rank", "node"))["node"].alias("centre")
+    centres = rows.groupBy("bucket").agg(centre, F.count(F.lit(1)).alias("size")).where("size > 1")
+    star = scratch.table(
+        rows.join(centres, "bucket").where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(),
+        "star",
+    )
     scratch.drop("buckets")
 
-    wanted = shared.select(F.col("m.node").alias("node")).distinct()
+    wanted = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
     exemplars = classes.select(F.col("k1").alias("node"), F.col("rep").alias("doc_id")).join(wanted, "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = _shingle_sets(texts.join(exemplars, "doc_id"), p)
     sets = scratch.table(found.dropDuplicates(["node"]), "sets")
 
-    star = (
-        shared.where((F.col("m.node") != F.col("c.node")) & _may_link(p, "m", "c"))
-        .select(F.col("c.node").alias("a"), F.col("m.node").alias("b"), F.col("c.node").alias("family"))
-        .distinct()
-    )
-    linked = F.col("both") * p.den >= F.col("either") * p.num
-    tested = scratch.table(_confirm(star, sets, scratch, "star").withColumn("linked", linked), "tested")
+    linked = F.col("both") * p.den >= (F.col("na") + F.col("nb") - F.col("both")) * p.num
+    first = _by_cells(star.select("a", "b", F.col("a").alias("family")), sets, _overlaps, _PAIR, scratch, "star")
+    tested = scratch.table(first.withColumn("linked", linked), "tested")
     labels = connected_components(tested.where("linked").select("a", "b"), scratch, "cc")
 
-    rest = _undecided(shared, tested, labels, sets, p, scratch)
-    again = scratch.table(_confirm(rest, sets, scratch, "rest").where(linked).select("a", "b"), "tested-rest")
+    rest = _undecided(tested, labels, sets, p, scratch)
+    second = _by_cells(rest, sets, _overlaps, _PAIR, scratch, "rest")
+    again = scratch.table(second.where(linked).select("a", "b"), "tested-rest")
     if not again.isEmpty():
         labels = connected_components(tested.where("linked").select("a", "b").union(again), scratch, "cc-rest")
 
@@ -340,7 +320,7 @@ def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFram
         ).select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")),
         "components",
     )
-    scratch.drop("shared", "sets", "star-pairs", "rest-pairs", "tested", "tested-rest", "placed", "mixed", "mixed-shingles", "mixed-prefixes")
+    scratch.drop("star", "sets", "star-pairs", "added-pairs", "rest-pairs", "tested", "tested-rest", "families", "mixed", "added", "met")
     return (
         signed_rows.select("doc_id", "k1", "k2", "n")
         .join(of_class, ["k1", "k2", "n"], "left")
