@@ -1 +1,11 @@
-"""calyxa: a Spark-first engine for pipeline queries over Parquet tables."""
+"""calyxa: a Spark-first engine for pipeline queries over Parquet tables.
+
+Functions that run in Python workers are sent by value, so executors need no copy of
+this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -54,21 +55,41 @@ def needle_feature(df: DataFrame, pos: str, text: Column, needle: str, size: int
     return df.groupBy(F.floor(F.col(pos) / size).cast("long").alias("chunk")).agg(feature.alias("needle_feature"))
 
 
+#: Rows that a sample for order features has at most.
+MAX_SAMPLE = 100_000
+
+
 def subsample(df: DataFrame, pos: str, step: int) -> DataFrame:
-    """Evenly spaced rows, the second one first."""
+    """Evenly spaced rows, the second one first; the step is widened so that MAX_SAMPLE rows hold them."""
+    rows = df.agg(F.max(pos)).first()[0]
+    step = max(step, -(-(0 if rows is None else rows + 1) // MAX_SAMPLE))
     return df.where(F.col(pos) % step == 1 % step)
 
 
+def count_inversions(values: np.ndarray) -> int:
+    """Pairs whose earlier value is the larger, bit by bit of the values' ranks."""
+    rank = np.empty(len(values), np.int64)
+    rank[np.argsort(values, kind="stable")] = np.arange(len(values))
+    total = 0
+    for bit in range(max(1, len(values)).bit_length()):
+        group = rank >> (bit + 1)
+        order = np.argsort(group, kind="stable")
+        one, start = (rank[order] >> bit) & 1, np.flatnonzero(np.diff(group[order], prepend=-1))
+        before = np.cumsum(one) - one
+        before -= np.repeat(before[start], np.diff(np.append(start, len(order))))
+        total += int(before[one == 0].sum())
+    return total
+
+
 def order_features(sample: DataFrame, pos: str, col: str) -> DataFrame:
-    """inversions, uniq of a subsample: pairs out of order, and distinct values.
+    """inversions, uniq of a bounded sample: pairs out of order, and distinct values; nulls are left out."""
+
+    def features(group: pa.Table) -> pa.Table:
+        values = np.array(group.sort_by("i")["v"].to_pylist())
+        return pa.table({"inversions": pa.array([count_inversions(values)]), "uniq": pa.array([len(np.unique(values))])})
 
-    A row out of order has a larger value before it, so pairs are joined by ranges of
-    position: blocks of the sample against blocks before them.
-    """
-    v = sample.select(F.col(pos).alias("i"), F.col(col).alias("v"))
-    a, b = v.toDF("ai", "av"), v.toDF("bi", "bv")
-    pairs = a.join(b, (F.col("ai") < F.col("bi")) & (F.col("av") > F.col("bv")))
-    return pairs.agg(F.count(F.lit(1)).alias("inversions")).crossJoin(v.agg(F.countDistinct("v").alias("uniq")))
+    rows = sample.where(F.col(col).isNotNull()).select(F.lit(0).alias("all"), F.col(pos).alias("i"), F.col(col).alias("v"))
+    return rows.groupBy("all").applyInArrow(features, "inversions long, uniq long")
 
 
 def intersection_features(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:
@@ -76,6 +97,6 @@ def intersection_features(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataF
     x = a.agg(F.count(F.lit(1)).alias("na"))
     y = b.agg(F.count(F.lit(1)).alias("nb"), F.min(idx).alias("lo"), F.max(idx).alias("hi"))
     inside = a.join(F.broadcast(y), F.col(idx).between(F.col("lo"), F.col("hi"))).agg(F.count(F.lit(1)).alias("inside"))
-    return x.join(F.broadcast(y)).join(F.broadcast(inside)).select(
+    return x.join(F.broadcast(y), F.lit(True)).join(F.broadcast(inside), F.lit(True)).select(
         (F.col("nb") / F.col("na")).alias("len_ratio"), (F.col("inside") / F.col("na")).alias("overlap")
     )

@@ -21,18 +21,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Spark's own file systems."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    def end() -> None:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may already be gone; nothing depends on this clean-up
+            pass
+
+    atexit.register(end)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """`df` written as Parquet and read back; its plan is gone and its size known."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/calyxa-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may be gone at exit
-        pass

@@ -96,6 +96,10 @@ def test_strategies_give_the_same_rows(spark):
 def test_features(spark):
     df = spark.createDataFrame(list(enumerate([3, 1, 2, 2])), "p long, v int")
     assert tuple(strategies.order_features(df, "p", "v").first()) == (3, 3)
+    for seed in range(5):
+        v = np.random.default_rng(seed).integers(0, 30, 60)
+        assert strategies.count_inversions(v) == sum(v[i] > v[j] for i in range(60) for j in range(i + 1, 60))
+    assert strategies.count_inversions(np.array([], int)) == 0
     a, b = (spark.createDataFrame([(i,) for i in x], "idx long") for x in ([1, 2, 3, 50], [2, 3, 9]))
     assert tuple(strategies.intersection_features(a, b).first()) == (0.75, 0.5)
 
