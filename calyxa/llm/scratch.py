@@ -1,34 +1,12 @@
-"""Tables written to the folder that the whole cluster shares, to cut lineage.
-
-The folder is ``spark.checkpoint.dir`` of the session.  Only where that is unset
-(local tests) a folder of our own is made.
-"""
+"""Tables of one operator's run in the folder that the whole cluster shares, to cut lineage."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session, as a URI or path that Spark resolves."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    if not _OWN:
-        _OWN.append(tempfile.mkdtemp(prefix="calyxa-"))
-    return f"file://{_OWN[0]}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+from calyxa.sources.scratch import remove, remove_at_exit, shared_folder
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -43,14 +21,8 @@ class Scratch:
     """A folder for one run of one operator; every table in it is written once and read back."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/calyxa-{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._end)
-
-    def _end(self) -> None:
-        try:
-            _delete(self.spark, self.root)
-        except Exception:  # the JVM may already be gone at exit; nothing depends on this clean-up
-            pass
+        self.spark, self.root = spark, f"{shared_folder(spark)}/calyxa-{name}-{uuid.uuid4().hex[:12]}"
+        remove_at_exit(spark, self.root)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write `df` and return the table read back (known size, no lineage)."""
@@ -60,7 +32,7 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            _delete(self.spark, f"{self.root}/{name}")
+            remove(self.spark, f"{self.root}/{name}")
 
     def folder(self, name: str) -> str:
         """A folder below the scratch root for files that are not tables."""
