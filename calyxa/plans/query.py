@@ -239,9 +239,30 @@ def _folded(ops: tuple[Op, ...]) -> list[Op | P.Predicate]:
     return out
 
 
-def compile_query(spark: SparkSession, job_path: str, query: Query, nulls: str = "zero", loader=None) -> DataFrame:
+def _decided(df: DataFrame, p: P.Predicate, visible: DataFrame, manager, sample: float) -> DataFrame:
+    """The filter by the strategy that the manager chooses, from features of a sample of rows."""
+    from calyxa.adaptive import strategies
+
+    some = df.sample(fraction=sample, seed=1)
+    if isinstance(p, P.Then) and isinstance(p.second, P.Contains):
+        number, needle = p.first.column(visible), p.second.column(visible)
+        text = F.col(f"`{P.resolve(visible, p.second.col)}`")
+        hit, length = some.agg(F.avg(F.when(number, 1.0).otherwise(0.0)), F.avg(F.octet_length(text))).first()
+        share = 1 / (1 + len(p.second.needle.encode()) / (length or 1.0))
+        return manager.run(strategies.needle_strategies(df, number, needle, hit or 0.0, share))
+    condition = p.column(visible)
+    hit = some.agg(F.avg(F.when(condition, 1.0).otherwise(0.0))).first()[0]
+    return manager.run(strategies.filter_strategies(df, condition, hit or 0.0))
+
+
+def compile_query(
+    spark: SparkSession, job_path: str, query: Query, nulls: str = "zero", loader=None, manager=None, sample: float = 0.01
+) -> DataFrame:
     """The query as a lazy DataFrame.
 
+    With a manager, each filter asks it for a strategy, from features of a sample of the
+    rows; that takes a job for each filter, so it is off by default.
+
     Sorts are stable by position and, with nulls="zero", order nulls as 0; with
     nulls="first" as Spark does.  FilterTop takes the first rows of the current order: a
     sort directly before it makes one top-k of both.
@@ -262,7 +283,8 @@ def compile_query(spark: SparkSession, job_path: str, query: Query, nulls: str =
             raise ValueError("the first operation must be LoadParquet")
         visible = df.select(*[f"`{c}`" for c in shown])
         if isinstance(op, P.Predicate):
-            df = df.where(P.tightest_bounds(P.normal_form(op)).column(visible))
+            p = P.tightest_bounds(P.normal_form(op)) if not isinstance(op, P.Then) else op
+            df = df.where(p.column(visible)) if manager is None else _decided(df, p, visible, manager, sample)
         elif isinstance(op, SelectColumns):
             shown = [P.resolve(visible, c) for c in op.cols]
         elif isinstance(op, SortBy):

@@ -16,12 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from calyxa import config
 from calyxa.plans.query import Query, compile_query, read_queries
-from calyxa.sources.parquet import TableCache
 
 
-def run_query(spark: SparkSession, job_path: str, query: Query, loader=None) -> tuple[DataFrame, int]:
+def run_query(spark: SparkSession, job_path: str, query: Query, loader=None, manager=None) -> tuple[DataFrame, int]:
     """The result, computed, and the nanoseconds that took."""
-    df = compile_query(spark, job_path, query, loader=loader)
+    df = compile_query(spark, job_path, query, loader=loader, manager=manager)
     start = time.perf_counter_ns()
     df.write.format("noop").mode("overwrite").save()
     return df, time.perf_counter_ns() - start
@@ -36,7 +35,7 @@ def run_all(
         if shuffle:
             random.shuffle(order)
         for _ in range(n_epochs):
-            times.append([{"order_id": i, "time": run_query(spark, job_path, queries[i])[1]} for i in order])
+            times.append([{"order_id": i, "time": run_query(spark, job_path, queries[i], manager=manager)[1]} for i in order])
             if manager is not None:
                 manager.end_of_epoch()
     return {"times": times}
@@ -57,16 +56,15 @@ def main(argv: Sequence[str] | None = None) -> None:
     job_path = a.job_path or settings.job_path
     queries = list(read_queries(a.queries))
     spark = SparkSession.builder.appName("calyxa").getOrCreate()
+    manager = settings.manager(learning=True) if settings.policy != "heuristic" else None
     if a.run_all:
-        report = run_all(spark, job_path, queries, a.n_times, a.n_epochs, a.shuffle, settings.manager())
+        report = run_all(spark, job_path, queries, a.n_times, a.n_epochs, a.shuffle, manager)
         print("Total time:", sum(r["time"] for epoch in report["times"] for r in epoch))
         print(json.dumps(report))
         return
     if not 0 <= a.query < len(queries):
         raise SystemExit(f"no query {a.query}; there are {len(queries)}")
-    cache = TableCache(spark, settings.cache_bytes)
-    df, nanos = run_query(spark, job_path, queries[a.query])
-    cache.clear()
+    df, nanos = run_query(spark, job_path, queries[a.query], manager=manager)
     print(f"{df.count()} rows in {nanos} ns")
 
 

@@ -117,3 +117,28 @@ def test_config(tmp_path):
             config.parse(bad)
     (tmp_path / "c.yml").write_text("policy: non_contextual_ucb\n")
     assert isinstance(config.load(tmp_path / "c.yml").manager().policies["sort"], policies.LowerBound)
+
+
+def test_intersections(spark):
+    from calyxa.adaptive import intersect
+
+    a, b = (spark.createDataFrame([(i,) for i in x], "idx long") for x in (range(1, 7), range(4, 10)))
+    for s in intersect.STRATEGIES:
+        assert sorted(r.idx for r in s(a, b).collect()) == [4, 5, 6] and s(a.limit(0), b).count() == 0
+    costs = iter([3.0, 1.0, 2.0] * 2)
+    text = intersect.train(spark, sizes=(5, 50), whole=100, repeats=1, measure=lambda df: next(costs))
+    chosen, again = intersect.load_or_train(spark, text)
+    assert again == text and chosen.tree == regret_tree.Leaf(1) and chosen.intersect(a, b).count() == 3
+    assert intersect.Intersector(regret_tree.Split(0, 0.5, regret_tree.Leaf(2), regret_tree.Leaf(0))).intersect(a, b).count() == 3
+
+
+def test_queries_with_a_manager_give_the_same_rows(spark, tmp_path):
+    from calyxa.plans import query as Q
+
+    spark.range(500).select("id", F.concat(F.lit("x"), (F.col("id") % 10).cast("string")).alias("s")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    q = Q.Query("q", (Q.LoadParquet("t"), Q.LessThan("id", 400), Q.SmartStringOnTop("s", "3", "id", 200), Q.SortBy("id")))
+    m = StrategyManager({"filter": policies.LowerBound(2), "plan": policies.LowerBound(2)}, learning=True)
+    want = Q.compile_query(spark, str(tmp_path), q).collect()
+    for _ in range(3):
+        assert Q.compile_query(spark, str(tmp_path), q, manager=m, sample=0.5).collect() == want
+    assert [op for op, _ in m.log] == ["filter", "plan"] * 3 and len({k for _, k in m.log}) == 2
