@@ -32,22 +32,30 @@ from calyxa.llm.words import CACHE_WORDS, column_bytes, mix, ngram_hashes
 BUCKETS = 1 << 18
 MAX_TRAIN = 20_000
 EPOCHS = 3
-_RUNS = re.compile(rb"(.)\1+", re.S)
+_RUNS = re.compile(r"(.)\1+", re.S)
 #: Parameters of FTRL-proximal.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 
 
+class _Kinds(dict):
+    """Code point -> A, a or 9 for upper-case letters, other letters and digits; all else stays."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+        return kind
+
+
 class Forms(dict):
     """Word -> hashes of the lower-cased word and of its form, remembered for some words."""
 
-    _KINDS = bytes(
-        ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c >= 128 else ord("9") if 48 <= c <= 57 else c for c in range(256)
-    )
+    def __init__(self) -> None:
+        self.kinds = _Kinds()
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        form = _RUNS.sub(rb"\1", word.translate(self._KINDS))[:12]
+        form = _RUNS.sub(r"\1", word.decode().translate(self.kinds))[:12]
         got = self[word] = (xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(form, 1))
         return got
 
