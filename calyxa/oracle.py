@@ -88,9 +88,9 @@ WITH idx AS (SELECT o_orderkey AS j, CAST((o_orderkey * 7919) % 1500 AS BIGINT)
 idx.j AS j, c.c_name AS c_name FROM idx LEFT JOIN customer c ON c.c_custkey = idx.i
 """,
     "interleave": """
-WITH idx AS (SELECT o_orderkey AS j, o_orderkey % 2 AS a, o_orderkey % 100 AS i FROM orders WHERE o_orderkey < 400) SELECT idx.j
-AS j, CASE WHEN a = 0 THEN s.s_name ELSE c.c_name END AS name FROM idx JOIN supplier s ON s.s_suppkey = idx.i JOIN customer c ON
-c.c_custkey = idx.i
+WITH idx AS (SELECT o_orderkey AS j, o_orderkey % 2 AS a, o_orderkey % 100 AS i FROM orders WHERE o_orderkey < 400)
+SELECT idx.j AS j, s.s_name AS name FROM idx JOIN supplier s ON s.s_suppkey = idx.i WHERE a = 0
+UNION ALL SELECT idx.j AS j, c.c_name AS name FROM idx JOIN customer c ON c.c_custkey = idx.i WHERE a = 1
 """,
     "nullif_mask": "SELECT p_partkey, CASE WHEN p_size > 25 THEN NULL ELSE p_size END AS v FROM part",
     "zip_if_else": "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name ELSE p_type END AS v FROM part",
