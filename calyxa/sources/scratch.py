@@ -12,10 +12,16 @@ _LOCAL: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """`spark.checkpoint.dir` of the session; only where that is unset, a folder of our own."""
+    """`spark.checkpoint.dir` of the session; where that is unset, a folder of our own.
+
+    On a cluster our own is below the warehouse, which is shared; in local mode it is a temporary one.
+    """
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.calyxa"
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="calyxa-"))
     return f"file://{_LOCAL[0]}"
