@@ -1,19 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting, with DataFrame functions only.
 
 Documents fall into cells of (source, language, topic).  The tokens of the cells are
-raked: in turn for each dimension, the factor of each of its values is set so that the
-weighted tokens meet that dimension's target shares.  A document's weight is the product of
-its three factors; weights over their maximum are inclusion probabilities, and a
-document is sampled if a uniform number made from its id is below its own.
+raked: in turn for each dimension, the weights of all cells with a value are scaled so
+that their tokens meet the value's target share.  A document is sampled, by a uniform number
+made from its id, with probability min(1, weight); what sampling once cannot give is left
+as its repeats, max(1, weight), so tokens times repeats of the sample are expected to
+meet the target shares exactly.
 
-Only sums per cell and factors per value are shuffled, by partial aggregation; every
-round is written to the shared folder, so the plan of a round does not grow.
+Only sums per cell and per value are shuffled, by partial aggregation; every round is
+written to the shared folder, so the plan of a round does not grow.
 
 Edge cases: null source, language, topic count as the value ''; null or blank text has
-no tokens (a value without tokens keeps factor 1); targets for values that do not occur
-are shared out among those that do; a null doc_id is sampled like the id ''; repeated
-rows are sampled alike; an empty table gives an empty result; other columns stay as they
-are, but those that begin with mix_ and are named below are replaced.
+no tokens (cells of a value without tokens keep weight 1); targets for values that do
+not occur are shared out among those that do; a null doc_id is sampled like the id '';
+repeated rows are sampled alike; an empty table gives an empty result; other columns
+stay as they are, but those that begin with mix_ and are named below are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from calyxa.llm.scratch import Scratch
 
 DIMS = ("source", "lang", "topic")
-ROUNDS = 12
+ROUNDS = 10
 #: Shares of the registered query: the tokens of a value to this power.
 TEMPER = 0.7
 SEED = "calyxa"
@@ -45,51 +46,39 @@ def topic_of(text: Column, tokens: Column) -> Column:
     )
 
 
+def _sums(cells: DataFrame, tokens: str) -> DataFrame:
+    """(dim, value, tokens) of every dimension."""
+    value = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value")) for d in DIMS])).alias("v")
+    return cells.select(value, tokens).groupBy("v.dim", "v.value").agg(F.sum(tokens).alias("tokens"))
+
+
 def tempered_targets(cells: DataFrame, temper: float = TEMPER) -> DataFrame:
     """(dim, value, share): shares in proportion to tokens ** temper, of each dimension's values."""
-    out = None
-    for d in DIMS:
-        sums = cells.groupBy(F.col(d).alias("value")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(temper)).alias("share"))
-        sums = sums.select(F.lit(d).alias("dim"), "value", "share")
-        out = sums if out is None else out.union(sums)
-    return out
+    return _sums(cells, "tokens").select("dim", "value", F.pow(F.col("tokens").cast("double"), F.lit(temper)).alias("share"))
 
 
 def rake(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """cells(source, lang, topic, tokens), targets(dim, value, share) -> (dim, value, factor)."""
-    there = None
-    for d in DIMS:
-        values = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("tokens")).select(F.lit(d).alias("dim"), "value", "tokens")
-        there = values if there is None else there.union(values)
-    goal = there.where("tokens > 0").join(targets, ["dim", "value"]).select("dim", "value", "share")
+    """cells(source, lang, topic, tokens), targets(dim, value, share) -> cells with weight."""
+    goal = _sums(cells, "tokens").where("tokens > 0").join(targets, ["dim", "value"]).select("dim", "value", "share")
     whole = goal.groupBy("dim").agg(F.sum("share").alias("whole"))
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     goal = scratch.table(
-        goal.join(F.broadcast(whole), "dim").select("dim", "value", (F.col("share") / F.col("whole")).alias("share")), "goal"
+        goal.join(whole, "dim").select("dim", "value", (F.col("share") / F.col("whole") * total).alias("goal")).coalesce(1), "goal"
     )
-    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    factors = scratch.table(there.select("dim", "value", F.lit(1.0).alias("factor")), "factors-0")
+    at = cells.withColumn("now", F.col("tokens").cast("double"))
+    for d in DIMS:
+        mine = goal.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}"))
+        at = at.join(mine, d, "left")
+    at = scratch.table(at.coalesce(1), "raked-0")
     for k in range(1, rounds + 1):
-        f = {d: _factor(factors, d) for d in DIMS}
         for d in DIMS:
-            met, w = cells, F.col("tokens").cast("double")
-            for o in DIMS:
-                if o != d:
-                    met, w = met.join(f[o], o), w * F.col(f"f_{o}")
-            now = met.groupBy(d).agg(F.sum(w).alias("now"))
-            mine = goal.where(F.col("dim") == d).select(F.col("value").alias(d), "share")
-            new = F.when(F.col("now") > 0, F.col("share") * total / F.col("now"))
-            f[d] = now.join(mine, d, "left").select(d, F.coalesce(new, F.lit(1.0)).alias(f"f_{d}"))
-        rows = None
-        for d in DIMS:
-            part = f[d].select(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"f_{d}").alias("factor"))
-            rows = part if rows is None else rows.union(part)
-        factors = scratch.table(rows.coalesce(1), f"factors-{k}")
-        scratch.drop(f"factors-{k - 1}")
-    return factors
-
-
-def _factor(factors: DataFrame, d: str) -> DataFrame:
-    return factors.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("factor").alias(f"f_{d}"))
+            sums = at.groupBy(d).agg(F.sum("now").alias("is"))
+            scale = F.when(F.col("is") > 0, F.col(f"goal_{d}") / F.col("is"))
+            at = at.join(sums, d).withColumn("now", F.col("now") * F.coalesce(scale, F.lit(1.0))).drop("is")
+        at = scratch.table(at.coalesce(1), f"raked-{k}")
+        scratch.drop(f"raked-{k - 1}")
+    weight = F.when(F.col("tokens") > 0, F.col("now") / F.col("tokens")).otherwise(1.0)
+    return at.select(*DIMS, "tokens", weight.alias("weight"))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -99,30 +88,26 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """docs with mix_tokens, mix_topic, mix_weight, mix_probability, mix_sampled.
+    """docs with mix_tokens, mix_topic, mix_weight, mix_probability, mix_repeats, mix_sampled.
 
     topic names a column; without it topics are told by form.  Without targets (dim,
     value, share) each dimension's shares are its tokens to the power TEMPER.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    made = topic_of(F.coalesce("text", F.lit("")), F.col("mix_tokens")) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit(""))
+    made = topic_of(text, F.col("mix_tokens")) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit(""))
     rows = docs.withColumn("mix_tokens", n_tokens(text)).withColumn("mix_topic", made)
-    keys = {"source": F.coalesce(F.col("source").cast("string"), F.lit("")), "lang": F.coalesce(F.col("lang").cast("string"), F.lit("")), "topic": F.col("mix_topic")}
+    keys = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMS[:2]} | {"topic": F.col("mix_topic")}
     cells = scratch.table(
         rows.groupBy(*[c.alias(d) for d, c in keys.items()]).agg(F.sum("mix_tokens").alias("tokens")).coalesce(1), "cells"
     )
-    factors = rake(cells, tempered_targets(cells) if targets is None else targets, scratch)
-    weighed = cells
-    for d in DIMS:
-        weighed = weighed.join(_factor(factors, d), d)
-    weighed = weighed.withColumn("mix_weight", F.col("f_source") * F.col("f_lang") * F.col("f_topic"))
-    weighed = scratch.table(weighed.select(*[F.col(d).alias(f"__k_{d}") for d in DIMS], "mix_weight").coalesce(1), "weights")
-    most = weighed.agg(F.max("mix_weight")).first()[0] or 1.0
+    raked = rake(cells, tempered_targets(cells) if targets is None else targets, scratch)
+    weights = raked.select(*[F.col(d).alias(f"__k_{d}") for d in DIMS], F.col("weight").alias("mix_weight"))
     on = [c == F.col(f"__k_{d}") for d, c in keys.items()]
     return (
-        rows.join(weighed, on, "left")
+        rows.join(weights, on, "left")
         .drop(*[f"__k_{d}" for d in DIMS])
-        .withColumn("mix_probability", F.col("mix_weight") / F.lit(most))
+        .withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight")))
+        .withColumn("mix_repeats", F.greatest(F.lit(1.0), F.col("mix_weight")))
         .withColumn("mix_sampled", uniform(F.col("doc_id")) < F.col("mix_probability"))
     )
 
@@ -153,24 +138,24 @@ def _oracle() -> str:
         "total AS MATERIALIZED (SELECT sum(tokens) AS total FROM cells)",
     ]
     for d in DIMS:
-        ctes.append(f"goal_{d} AS MATERIALIZED (SELECT {d}, s / sum(s) OVER () AS share FROM (SELECT {d}, pow(sum(tokens), {TEMPER}) AS s FROM cells GROUP BY {d} HAVING sum(tokens) > 0))")
-        ctes.append(f"f_{d}_0 AS MATERIALIZED (SELECT DISTINCT {d}, CAST(1 AS DOUBLE) AS f FROM cells)")
-    for k in range(1, ROUNDS + 1):
-        for i, d in enumerate(DIMS):
-            a, b = ((o, k if DIMS.index(o) < i else k - 1) for o in DIMS if o != d)
+        ctes.append(
+            f"goal_{d} AS MATERIALIZED (SELECT {d}, s / sum(s) OVER () * (SELECT total FROM total) AS goal FROM "
+            f"(SELECT {d}, pow(sum(tokens), {TEMPER}) AS s FROM cells GROUP BY {d} HAVING sum(tokens) > 0))"
+        )
+    ctes.append("at_0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens AS now FROM cells)")
+    step = 0
+    for _ in range(ROUNDS):
+        for d in DIMS:
             ctes.append(
-                f"f_{d}_{k} AS MATERIALIZED (SELECT n.{d}, coalesce(CASE WHEN n.now > 0 THEN g.share * (SELECT total FROM total) / n.now END, 1) AS f FROM "
-                f"(SELECT c.{d}, sum(c.tokens * x.f * y.f) AS now FROM cells c JOIN f_{a[0]}_{a[1]} x ON c.{a[0]} = x.{a[0]} "
-                f"JOIN f_{b[0]}_{b[1]} y ON c.{b[0]} = y.{b[0]} GROUP BY c.{d}) n LEFT JOIN goal_{d} g ON n.{d} = g.{d})"
+                f"at_{step + 1} AS MATERIALIZED (SELECT a.source, a.lang, a.topic, a.tokens, "
+                f"a.now * coalesce(CASE WHEN s.x > 0 THEN g.goal / s.x END, 1) AS now FROM at_{step} a "
+                f"JOIN (SELECT {d}, sum(now) AS x FROM at_{step} GROUP BY {d}) s ON a.{d} = s.{d} LEFT JOIN goal_{d} g ON a.{d} = g.{d})"
             )
-    ctes.append(
-        f"w AS MATERIALIZED (SELECT c.source, c.lang, c.topic, s.f * l.f * t.f AS weight FROM cells c JOIN f_source_{ROUNDS} s ON c.source = s.source "
-        f"JOIN f_lang_{ROUNDS} l ON c.lang = l.lang JOIN f_topic_{ROUNDS} t ON c.topic = t.topic)"
-    )
+            step += 1
+    ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN now / tokens ELSE 1 END AS weight FROM at_{step})")
+    u = f"CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0"
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT d.doc_id, d.n_tokens, d.topic, round(w.weight, 6) AS weight,
-  round(w.weight / (SELECT max(weight) FROM w), 6) AS probability,
-  CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 < w.weight / (SELECT max(weight) FROM w) AS sampled
+SELECT d.doc_id, d.n_tokens, d.topic, round(w.weight, 6) AS weight, round(least(1.0, w.weight), 6) AS probability, {u} < least(1.0, w.weight) AS sampled
 FROM topical d JOIN w ON d.source = w.source AND d.lang = w.lang AND d.topic = w.topic
 """
 

@@ -55,7 +55,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents sampled by raked weights, with their weights and probabilities."""
+    """The documents sampled by raked weights, with their weights, probabilities and repeats."""
     weighed = mixing.mix(docs, Scratch(spark, "pipeline-mix"))
     return weighed.where("mix_sampled").drop("mix_sampled")
 
