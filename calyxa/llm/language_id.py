@@ -40,7 +40,7 @@ ROUNDS = 3
 SEGMENT = 32
 FLOOR = 1e-7
 #: Word scores that a task remembers (numbers, all languages together).
-REMEMBERED = 2_000_000
+REMEMBERED = 3_000_000
 _LETTER = re.compile(r"[^\W\d_]")
 _STEP = np.uint64(0x100000001B3)
 
@@ -52,24 +52,37 @@ def pieces_of(path: str) -> list[str]:
     return [sp.id_to_piece(i) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
 
 
+def _mixed(h: int) -> int:
+    """`mix` of one 64-bit number."""
+    m = 2**64 - 1
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD & m
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 & m
+    return h ^ (h >> 33)
+
+
+def prefix_table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted hashes of all prefixes of pieces, the piece of each (-1 if it is none), the longest length, the number of pieces."""
+    prefixes: dict[int, int] = {}
+    for i, piece in enumerate(pieces):
+        h = 0
+        for k, c in enumerate(piece):
+            h = ((h + ord(c) + 1) * int(_STEP)) & (2**64 - 1)
+            key = _mixed(h)
+            if k == len(piece) - 1:
+                prefixes[key] = i
+            else:
+                prefixes.setdefault(key, -1)
+    keys = np.array(sorted(prefixes), np.uint64)
+    return keys, np.array([prefixes[k] for k in keys.tolist()], np.int32), max(map(len, pieces)), len(pieces)
+
+
 class Lattice:
-    """Finds all pieces in many words at once."""
-
-    def __init__(self, pieces: list[str]):
-        prefixes: dict[int, int] = {}
-        self.longest = max(map(len, pieces))
-        for i, piece in enumerate(pieces):
-            h = 0
-            for k, c in enumerate(piece):
-                h = ((h + ord(c) + 1) * int(_STEP)) & (2**64 - 1)
-                key = int(mix(np.array([h], np.uint64))[0])
-                if k == len(piece) - 1:
-                    prefixes[key] = i
-                else:
-                    prefixes.setdefault(key, -1)
-        self.keys = np.array(sorted(prefixes), np.uint64)
-        self.piece = np.array([prefixes[k] for k in self.keys.tolist()], np.int32)
-        self.unknown = len(pieces)
+    """Finds all pieces in many words at once; made from a prefix_table."""
+
+    def __init__(self, keys: np.ndarray, piece: np.ndarray, longest: int, unknown: int):
+        self.keys, self.piece, self.longest, self.unknown = keys, piece, longest, unknown
 
     def edges(self, words: list[str]):
         """(first position of each word, word of each position, from, to, piece) of the words' lattices.
@@ -144,14 +157,11 @@ class Lattice:
 
 
 def _segments(text: str) -> list[str]:
-    out = []
-    for w in text.split():
-        w = "▁" + w
-        if len(w) <= SEGMENT:
-            out.append(w)
-        else:
-            out += [w[i : i + SEGMENT] for i in range(0, len(w), SEGMENT)]
-    return out
+    words = text.split()
+    if not words or max(map(len, words)) < SEGMENT:
+        return ["▁" + w for w in words]
+    marked = ("▁" + w for w in words)
+    return [w[i : i + SEGMENT] for w in marked for i in range(0, len(w), SEGMENT)]
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -171,26 +181,30 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, pieces: list[str], scratch: Scratch, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
-    """Languages, in order of name, and piece probabilities (piece x language) from docs(doc_id, lang, text)."""
+def fit(docs: DataFrame, table: tuple, scratch: Scratch, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
+    """Languages, in order of name, and piece probabilities (piece x language) from docs(doc_id, lang, text).
+
+    table: a prefix_table; p has one more row, for characters outside the vocabulary.
+    """
     sc = scratch.spark.sparkContext
     sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(sizes)
-    p = np.full((len(pieces) + 1, len(langs)), 1 / (len(pieces) + 1))
+    size = table[-1] + 1
+    p = np.full((size, len(langs)), 1 / size)
     if not langs:
         return langs, p
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_docs / sizes[k]))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     counts = scratch.table(_word_counts(docs.where(chance < share[F.col("lang")])), "lang-words")
     place = {k: i for i, k in enumerate(langs)}
-    sent = sc.broadcast(pieces)
+    sent = sc.broadcast(table)
     for _ in range(ROUNDS):
         model = sc.broadcast(p)
 
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
-            lattice, total = Lattice(sent.value), np.zeros(model.value.shape)
+            lattice, total = Lattice(*sent.value), np.zeros(model.value.shape)
             for batch in batches:
                 lang = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
                 total += lattice.expected(batch.column(1).to_pylist(), lang, np.array(batch.column(2)), model.value)
@@ -205,13 +219,13 @@ def fit(docs: DataFrame, pieces: list[str], scratch: Scratch, max_docs: int = MA
     return langs, p
 
 
-def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray, scratch: Scratch) -> DataFrame:
+def predict(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scratch: Scratch) -> DataFrame:
     """docs(doc_id, held_out, text) -> doc_id, held_out, lang_pred, score of every row."""
-    sent = scratch.spark.sparkContext.broadcast((pieces, langs, p))
+    sent = scratch.spark.sparkContext.broadcast((table, langs, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, langs, p = sent.value
-        lattice = Lattice(pieces)
+        table, langs, p = sent.value
+        lattice = Lattice(*table)
         room = max(1000, REMEMBERED // max(1, len(langs)))
         seen: dict[str, int] = {}
         scores = np.zeros((room, len(langs)))
@@ -220,12 +234,14 @@ def predict(docs: DataFrame, pieces: list[str], langs: list[str], p: np.ndarray,
             pred, conf = [], []
             for i in range(0, len(texts), 256):
                 some = [_segments(t) if t and langs and _LETTER.search(t) else [] for t in texts[i : i + 256]]
-                if len(seen) > room // 2:
-                    seen.clear()
-                new = [w for w in dict.fromkeys(w for ws in some for w in ws) if w not in seen]
+                met = dict.fromkeys(w for ws in some for w in ws)
+                new = [w for w in met if w not in seen]
                 if len(seen) + len(new) > room:
-                    room = len(seen) + len(new)
-                    scores = np.concatenate([scores, np.zeros((room - len(scores), len(langs)))])
+                    seen.clear()
+                    new = list(met)
+                    if len(new) > room:
+                        room = len(new)
+                        scores = np.zeros((room, len(langs)))
                 for k in range(0, len(new), 20_000):
                     part = new[k : k + 20_000]
                     at = len(seen)
@@ -254,9 +270,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULA
         F.col("text").cast("string").alias("text"),
         (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
     )
-    pieces = pieces_of(vocabulary)
-    langs, p = fit(docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()), pieces, scratch)
-    return predict(docs, pieces, langs, p, scratch)
+    table = prefix_table(pieces_of(vocabulary))
+    langs, p = fit(docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()), table, scratch)
+    return predict(docs, table, langs, p, scratch)
 
 
 QUERIES = {"op9_language_id": op9_language_id}

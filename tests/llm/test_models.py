@@ -127,7 +127,7 @@ def segmentations(word, pieces):
 def small():
     pieces = ["▁", "a", "b", "ab", "ba", "▁a", "aba", "bab", "é"]
     rng = np.random.default_rng(0)
-    return pieces, L.Lattice(pieces), rng.dirichlet(np.ones(len(pieces) + 1), 2).T
+    return pieces, L.Lattice(*L.prefix_table(pieces)), rng.dirichlet(np.ones(len(pieces) + 1), 2).T
 
 
 def test_forward_sums_all_segmentations(small):
