@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 
 from calyxa.llm.components import connected_components
 from calyxa.llm.scratch import Scratch
-from calyxa.llm.words import WordHashes, column_bytes, mix, shingle_set, signed, split_words
+from calyxa.llm.words import WordHashes, column_bytes, mix, released, shingle_set, signed, slices, split_words
 
 #: Nodes of a cell on either side.
 CELL = 256
+#: Shingles by which repeated candidates are told; more of them may repeat a pair, never lose it.
+HEAD = 64
 #: Families of more than one cell that are still broadcast.
 MAX_BROADCAST_FAMILIES = 50_000
 
@@ -126,6 +128,7 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
                 ],
                 names=["doc_id", "n", "k1", "k2", "bands"],
             )
+        released()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
@@ -140,13 +143,14 @@ def _shingle_sets(rows: DataFrame, p: NearDedup) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             nodes, sets = [], []
             for node, text in zip(batch.column("node").to_pylist(), column_bytes(batch, "text"), strict=True):
                 s = shingle_set(words.of(split_words(text)), p.words)
                 if int(signed(fingerprint(s)[0])) == node:
                     nodes.append(node), sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+        released()
 
     return rows.select("node", "text").mapInArrow(run, "node long, set binary")
 
@@ -252,15 +256,19 @@ def _undecided(tested: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDed
         .join(mixed.select("a", "b", "lb", "nb", "both"), ["a", "b"])
     )
     needed = F.greatest(F.lit(1), F.ceil(F.col("nb") * num / den - 1e-9).cast("int") - F.col("both").cast("int"))
-    first = listed.withColumn("k", F.col("m") - needed + 1).where("k > 0")
-    first = first.select("a", "b", "lb", "nb", (F.col("both") + F.col("m")).alias("most"), F.explode(F.slice("s", F.lit(1), F.col("k"))["shingle"]).alias("shingle"))
-    met = scratch.table(first, "met")
+    prefix = listed.withColumn("k", F.col("m") - needed + 1).where("k > 0").withColumn("s", F.slice("s", F.lit(1), F.greatest("k", F.lit(0)))["shingle"])
+    most = (F.col("both") + F.col("m")).alias("most")
+    met = scratch.table(
+        prefix.select("a", "b", "lb", "nb", most, F.slice("s", 1, HEAD).alias("head"), F.explode("s").alias("shingle")), "met"
+    )
     several = met.groupBy("a", "shingle").agg(F.min("lb").alias("l0"), F.max("lb").alias("l1")).where("l0 != l1")
     met = met.join(several.select("a", "shingle"), ["a", "shingle"], "left_semi")
-    x = met.select("a", "shingle", F.col("b").alias("u"), F.col("lb").alias("lu"), F.col("nb").alias("nu"), F.col("most").alias("mu"))
-    y = met.select("a", "shingle", F.col("b").alias("v"), F.col("lb").alias("lv"), F.col("nb").alias("nv"), F.col("most").alias("mv"))
+    names = ("a", "shingle", "b", "lb", "nb", "most", "head")
+    x, y = (met.select(*names).toDF("a", "shingle", *new) for new in (("u", "lu", "nu", "mu", "hu"), ("v", "lv", "nv", "mv", "hv")))
     near = F.least("mu", "mv") * (num + den) >= (F.col("nu") + F.col("nv")) * num
-    outside = x.join(y, ["a", "shingle"]).where((F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v")) & near)
+    # of several shingles that both have in their heads, one makes the pair
+    once = F.coalesce(F.array_min(F.array_intersect("hu", "hv")) == F.col("shingle"), F.lit(True))
+    outside = x.join(y, ["a", "shingle"]).where((F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v")) & near & once)
 
     found = inside.select("a", "u", "v").union(outside.select("a", "u", "v"))
     return found.groupBy(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).agg(F.min("a").alias("family")).toDF("a", "b", "family")
