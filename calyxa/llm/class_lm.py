@@ -35,13 +35,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyxa.llm.scratch import Scratch
-from calyxa.llm.words import WordHashes, column_bytes, signed, split_words
+from calyxa.llm.words import CACHE_WORDS, column_bytes, signed, split_words
 
 TOP, SUFFIXES, CLASSES = 1024, 256, 64
 KNOWN = 65_536
 SWEEPS = 12
 #: Distinct words that a task holds before it passes their counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 250_000
 #: The end of a text as a token; no word holds a blank.
 END = b" end"
 _END_HASH = int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(END)).view(np.int64)))
@@ -96,13 +96,27 @@ class _Items(dict):
         self.top = top
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         h = int(np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64))
         i = self[word] = self.top.get(h, TOP + suffix_item(word))
         return i
 
 
+class _Known(dict):
+    """Word -> its item, and 65,536 times its place among the known words (from 1; 0 if it is none)."""
+
+    def __init__(self, top: dict[int, int], places: dict[int, int]):
+        self.top, self.places = top, places
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = int(np.uint64(xxhash.xxh3_64_intdigest(word)).view(np.int64))
+        x = self[word] = self.top.get(h, TOP + suffix_item(word)) | self.places.get(h, 0) << 16
+        return x
+
+
 #: Items: the TOP words (the end is always among them), the suffix groups.
 N_ITEMS = TOP + SUFFIXES
 
@@ -238,28 +252,25 @@ def _scored(docs: DataFrame, model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         top, kind_of, transition, emission, known = model.value
-        items, hashes = _Items(top), WordHashes()
-        end = items[END]
-        logs = {h: math.log10(n + 1) for h, n in known.items()}
-        order = np.array(sorted(logs), np.int64)
-        value = np.array([logs[h] for h in order.tolist()])
+        look = _Known(top, {h: i for i, h in enumerate(known, 1)})
+        value = np.log10(np.array([0, *known.values()]) + 1)
+        end = look[END] & 0xFFFF
         row, part = 0, TaskContext.get().partitionId()
         for batch in batches:
             out: list[list] = [[] for _ in range(6)]
             for text in column_bytes(batch, "text"):
                 tokens = split_words(text)
                 tokens.append(END)
-                item = np.fromiter(map(items.__getitem__, tokens), np.int64, len(tokens))
-                kinds = kind_of[item]
+                x = np.fromiter(map(look.__getitem__, tokens), np.int64, len(tokens))
+                place, kinds = x >> 16, kind_of[x & 0xFFFF]
                 trans = transition[np.append(kind_of[end], kinds[:-1]), kinds].sum() - emission[kinds].sum()
-                h = signed(hashes.of(tokens))
-                at = np.minimum(np.searchsorted(order, h), max(len(order) - 1, 0))
-                seen = order[at] == h if len(order) else np.zeros(len(h), bool)
-                rare, times = np.unique(h[~seen], return_counts=True)
+                rest = np.flatnonzero(place == 0)
+                h = np.fromiter((xxhash.xxh3_64_intdigest(tokens[i]) for i in rest.tolist()), np.uint64, len(rest))
+                rare, times = np.unique(signed(h), return_counts=True)
                 out[0].append((part << 33) + row)
                 out[1].append(len(tokens))
-                out[2].append(int(seen.sum()))
-                out[3].append(float(value[at[seen]].sum()) if len(order) else 0.0)
+                out[2].append(len(tokens) - len(rest))
+                out[3].append(float(value[place].sum()))
                 out[4].append(float(trans))
                 out[5].append(np.stack([rare, times]) if len(rare) else np.zeros((2, 0), np.int64))
                 row += 1

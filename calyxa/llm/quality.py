@@ -27,10 +27,10 @@ from pyspark.sql import types as T
 
 from calyxa.llm.class_lm import crc_mod
 from calyxa.llm.scratch import free_name
-from calyxa.llm.words import CACHE_WORDS, column_bytes, mix, ngram_hashes
+from calyxa.llm.words import CACHE_WORDS, column_bytes, mix, ngram_hashes, released, slices
 
 BUCKETS = 1 << 18
-MAX_TRAIN = 20_000
+MAX_TRAIN = 12_000
 EPOCHS = 3
 _RUNS = re.compile(r"(.)\1+", re.S)
 #: Parameters of FTRL-proximal.
@@ -76,7 +76,8 @@ def features(text: bytes | None, forms: Forms) -> tuple[np.ndarray, np.ndarray]:
 
 def _train(rows: Iterator[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS) -> np.ndarray:
     """Weights of all columns and, last, the intercept."""
-    data = [(y, np.append(at, BUCKETS), np.append(x, 1.0)) for y, at, x in rows]
+    one = np.ones(1, np.float32)
+    data = [(y, np.append(at, np.int32(BUCKETS)), np.concatenate([x, one])) for y, at, x in rows]
     z, n = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
 
     def weights(at) -> np.ndarray:
@@ -107,7 +108,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = Forms()
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             found = [features(t, forms) for t in column_bytes(batch, "text")]
             lengths = pa.array(np.cumsum([0, *(len(at) for at, _ in found)]).astype(np.int32))
             columns = [
@@ -115,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
                 for k, t in ((0, np.int32), (1, np.float32))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["doc_id", "y", "i", "x"])
+        released()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -122,11 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
                 i, x = (np.array(batch.column(k).flatten()) for k in (2, 3))
                 cut = np.cumsum([0, *(batch.column(2).value_lengths().to_pylist())])
                 for y, s, e in zip(batch.column(1).to_pylist(), cut[:-1], cut[1:], strict=True):
-                    yield y, i[s:e], x[s:e]
+                    yield y, i[s:e], x[s:e]  # copied by _train
 
         w = _train(rows())
         i = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(w[i])], names=["i", "w"])
+        released()
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
@@ -153,6 +156,7 @@ def score(docs: DataFrame, weights: np.ndarray, name: str = "score") -> DataFram
                 logits[i] = w[-1] + w[at] @ x
             p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
+        released()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
