@@ -9,6 +9,7 @@ import yaml
 
 from calyxa.adaptive import manager, policies
 
+#: Names of policies in configuration files (fixed values).
 POLICIES = ("heuristic", "single_policy", "oracle_machine", "non_contextual_ucb", "cake", "cake_bs")
 OPERATIONS = ("filter", "query_plan", "sort")
 _SHORT = {"filter": "filter", "query_plan": "plan", "sort": "sort"}
