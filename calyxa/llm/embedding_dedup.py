@@ -4,9 +4,12 @@
    or hold null or non-finite components take no part and link with nothing.
 2. Each pass gives a node a key of 63 concatenated one-bit random-projection hashes,
    orders the nodes by it, and compares every node with its next WINDOW neighbours by
-   cosine in double precision.  The number of passes follows from the number of nodes, so
+   cosine in double precision.  Where more nodes than a window holds agree on the first
+   bits of their keys (a crowd), all of them are compared, block against block in cells of
+   RUN_CELL nodes, so every pair that agrees on those bits meets, however dense its
+   neighbourhood is.  The number of bits and of passes follows from the number of nodes, so
    that a pair at the threshold is missed by all passes with a probability of MISS.
-   A block of the order returns a spanning forest of its links, never all of them.
+   A block of the order or a cell returns a spanning forest of its links, never all of them.
 3. The links of all passes are united to components.
 4. The window bounds partners, so components are completed exactly: their members are
    compared block against block (cells of bounded size), and only counts per vector
@@ -36,15 +39,22 @@ MISS = 1e-3
 BITS = 63
 #: Ranks of a block of the order, nodes of a cell, passes of one job.
 BLOCK, CELL, AT_ONCE = 512, 512, 6
+#: Nodes of each side of a cell of a crowd.
+RUN_CELL = 1024
+
+
+def depth_for(n: int, window: int = WINDOW) -> int:
+    """First bits of a key on which about a quarter to a half of a window of n evenly spread vectors agree."""
+    return min(BITS, math.ceil(math.log2(max(2.0, n / window))) + 1)
 
 
 def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
     """Passes after which a pair at the threshold is missed with probability `miss`.
 
-    Two vectors meet in a window of an order of n if they agree on about log2(n / window) + 1 bits.
+    Two vectors meet in a pass if they agree on the first depth_for(n) bits: in a window, or in a cell of their run.
     """
     agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    p = agree ** (math.log2(max(2.0, n / window)) + 1)
+    p = agree ** depth_for(n, window)
     return max(4, math.ceil(math.log(miss) / math.log(1 - p)))
 
 
@@ -114,15 +124,16 @@ def _numbered(ordered: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     batch.column(2),
                     pa.array(np.full(n, part, np.int32)),
                     pa.array(np.arange(at, at + n, dtype=np.int64)),
                 ],
-                names=["pass", "node", "part", "at"],
+                names=["pass", "key", "node", "part", "at"],
             )
             at += n
 
-    return ordered.mapInArrow(run, "pass int, node long, part int, at long")
+    return ordered.mapInArrow(run, "pass int, key long, node long, part int, at long")
 
 
 def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
@@ -164,7 +175,64 @@ def _window_links(threshold: float, window: int, block: int):
     return links
 
 
-def _pass_links(nodes: DataFrame, first: int, last: int, threshold: float, scratch: Scratch, seed: int) -> DataFrame:
+def _tree(near: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links, with each row looked at once."""
+    free, out = near.any(axis=1), []
+    for start in range(len(near)):
+        if not free[start]:
+            continue
+        free[start] = False
+        reached = [start]
+        while reached:
+            a = reached.pop()
+            new = np.flatnonzero(near[a] & free)
+            free[new] = False
+            out += [(a, b) for b in new.tolist()]
+            reached += new.tolist()
+    return out
+
+
+def _run_links(threshold: float):
+    def links(group: pa.Table) -> pa.Table:
+        side, node, raw = np.array(group["side"]), np.array(group["node"]), group["v"].to_pylist()
+        one = group["i"][0].as_py() == group["j"][0].as_py()
+        out: list[tuple[int, int]] = []
+        sizes = np.array([len(v) for v in raw])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            x = _unit([raw[i] for i in at])
+            near = x @ x.T >= threshold
+            np.fill_diagonal(near, False)
+            if not one:
+                near &= side[at][:, None] != side[at][None, :]
+            out += [(at[a], at[b]) for a, b in _tree(near | near.T)]
+        a, b = (np.array([p[i] for p in out], np.int64) for i in (0, 1))
+        return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
+
+    return links
+
+
+def _crowd_links(ranked: DataFrame, nodes: DataFrame, depth: int, threshold: float, scratch: Scratch, name: str) -> DataFrame | None:
+    """Links of all nodes that agree on the first bits of a key, where a window doesn't hold them; None if it always does."""
+    prefixed = ranked.withColumn("prefix", F.shiftright("key", BITS - depth))
+    runs = prefixed.groupBy("pass", "prefix").agg(F.min("rank").alias("head"), F.count(F.lit(1)).alias("size"))
+    crowds = scratch.table(runs.where(F.col("size") > WINDOW + 1), name)
+    if crowds.isEmpty():
+        return None
+    cells = (
+        prefixed.join(crowds, ["pass", "prefix"])
+        .withColumn("side", F.floor((F.col("rank") - F.col("head")) / RUN_CELL).cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / RUN_CELL).cast("long"))))
+        .select("pass", "head", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "node")
+    )
+    return (
+        cells.join(nodes.select("node", "v"), "node")
+        .groupBy("pass", "head", "i", "j")
+        .applyInArrow(_run_links(threshold), "a long, b long")
+    )
+
+
+def _pass_links(nodes: DataFrame, first: int, last: int, depth: int, threshold: float, scratch: Scratch, seed: int) -> DataFrame:
     spark = scratch.spark
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = _keys(nodes, first, last, seed)
@@ -182,12 +250,13 @@ def _pass_links(nodes: DataFrame, first: int, last: int, threshold: float, scrat
     dealt = ranked.select(
         "pass", "node", "rank", F.explode(F.when(tail, F.array(block, block - 1)).otherwise(F.array(block))).alias("block")
     )
-    return (
+    links = (
         dealt.join(nodes.select("node", "v"), "node")
         .groupBy("block")
         .applyInArrow(_window_links(threshold, WINDOW, BLOCK), "a long, b long")
-        .distinct()
     )
+    crowded = _crowd_links(ranked, nodes, depth, threshold, scratch, f"crowds-{first}")
+    return (links if crowded is None else links.union(crowded)).distinct()
 
 
 def _cell_counts(threshold: float):
@@ -228,9 +297,9 @@ def embedding_links(vectors: DataFrame, threshold: float, scratch: Scratch, seed
     n = nodes.count()
     total, found = passes_for(n, threshold) if n > 1 else 0, []
     for first in range(0, total, AT_ONCE):
-        links = _pass_links(nodes, first, min(total, first + AT_ONCE), threshold, scratch, seed)
+        links = _pass_links(nodes, first, min(total, first + AT_ONCE), depth_for(n), threshold, scratch, seed)
         found.append(scratch.table(links, f"links-{first}"))
-        scratch.drop(f"order-{first}")
+        scratch.drop(f"order-{first}", f"crowds-{first}")
     links = found[0] if found else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a != b")
     for more in found[1:]:
         links = links.union(more)

@@ -59,6 +59,29 @@ def test_large_components_are_completed_exactly(spark, monkeypatch):
     assert found(spark, rows) == brute(rows, 0.95)
 
 
+def test_single_links_within_a_crowd(spark):
+    rng = np.random.default_rng(8)
+
+    def unit(*shape):
+        x = rng.standard_normal(shape)
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    n, planted, c = 6000, 400, unit(64)
+    crowd = np.sqrt(0.86) * c + np.sqrt(0.14) * unit(n // 3, 64)
+    crowd /= np.linalg.norm(crowd, axis=1, keepdims=True)
+    away = unit(planted, 64)
+    away -= (away * crowd[:planted]).sum(1, keepdims=True) * crowd[:planted]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    x = np.concatenate([crowd, 0.951 * crowd[:planted] + np.sqrt(1 - 0.951**2) * away, unit(n - n // 3 - planted, 64)])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in E.embedding_links(df, 0.95, Scratch(spark, "e")).collect()}
+    want, have = int(near.sum()), sum(got.values())
+    assert all(got[i] <= near[i].sum() for i in range(n)) and want >= 2 * planted
+    assert have >= (1 - 2 * E.MISS) * want, f"{have} of {want}"
+
+
 def test_edges(spark):
     v = [1.0, 2.0, 3.0]
     rows = [(1, v, 0), (2, v, None), (2, v, 0), (3, None, 0), (4, [0.0, 0.0, 0.0], 0), (5, [1.0, None, 3.0], 0), (6, [float("nan"), 1.0, 1.0], 0), (7, [float("inf"), 1.0, 1.0], 0), (8, [], 0), (9, [1.0, 2.0], 0), (None, v, 0), (10, [1e30, 2e30, 3e30], 0), (11, [1e-30, 2e-30, 3e-30], 0)]
