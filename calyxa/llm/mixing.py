@@ -5,7 +5,12 @@ raked: in turn for each dimension, the weights of all cells with a value are sca
 that their tokens meet the value's target share.  A document is sampled, by a uniform number
 made from its id, with probability min(1, weight); what sampling once cannot give is left
 as its repeats, max(1, weight), so tokens times repeats of the sample are expected to
-meet the target shares exactly.
+meet the target shares, each to within TOLERANCE of itself.
+
+Raking takes ROUNDS rounds, and further ones until the largest relative error of a value's
+tokens is at most TOLERANCE (the registered SQL always takes ROUNDS).  Targets that contradict each other (as of a language that only
+one source has) can't be met: when ROUNDS rounds lower the error by less than STALLED of
+it, raking stops and a warning names the error.
 
 Only sums per cell and per value are shuffled, by partial aggregation; every round is
 written to the shared folder, so the plan of a round does not grow.
@@ -19,13 +24,17 @@ stay as they are, but those that begin with mix_ and are named below are replace
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyxa.llm.scratch import Scratch
 
 DIMS = ("source", "lang", "topic")
+#: Rounds before the errors are first looked at, and between looks.
 ROUNDS = 10
+TOLERANCE, STALLED = 1e-4, 1e-3
 #: Shares of the registered query: the tokens of a value to this power.
 TEMPER = 0.7
 SEED = "calyxa"
@@ -57,6 +66,13 @@ def tempered_targets(cells: DataFrame, temper: float = TEMPER) -> DataFrame:
     return _sums(cells, "tokens").select("dim", "value", F.pow(F.col("tokens").cast("double"), F.lit(temper)).alias("share"))
 
 
+def _error(at: DataFrame) -> float:
+    """The largest relative difference of a value's tokens from its goal."""
+    value = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"goal_{d}").alias("goal")) for d in DIMS]))
+    sums = at.select(value.alias("v"), "now").groupBy("v.dim", "v.value").agg(F.sum("now").alias("is"), F.max("v.goal").alias("goal"))
+    return sums.where("goal > 0").agg(F.max(F.abs(F.col("is") / F.col("goal") - 1))).first()[0] or 0.0
+
+
 def rake(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """cells(source, lang, topic, tokens), targets(dim, value, share) -> cells with weight."""
     goal = _sums(cells, "tokens").where("tokens > 0").join(targets, ["dim", "value"]).select("dim", "value", "share")
@@ -70,7 +86,17 @@ def rake(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = R
         mine = goal.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}"))
         at = at.join(mine, d, "left")
     at = scratch.table(at.coalesce(1), "raked-0")
-    for k in range(1, rounds + 1):
+    k, last = 0, float("inf")
+    while True:
+        if k >= rounds and (k - rounds) % ROUNDS == 0:
+            error = _error(at)
+            if error <= TOLERANCE:
+                break
+            if error > (1 - STALLED) * last:
+                logging.getLogger(__name__).warning("targets can't be met: largest relative error %.3g after %d rounds", error, k)
+                break
+            last = error
+        k += 1
         for d in DIMS:
             sums = at.groupBy(d).agg(F.sum("now").alias("is"))
             scale = F.when(F.col("is") > 0, F.col(f"goal_{d}") / F.col("is"))

@@ -27,6 +27,34 @@ def test_raking_meets_all_targets(spark):
             assert abs(sums[d, v] - s / whole) < 1e-6
 
 
+def _off(rows, targets, got):
+    """The largest relative error of a margin."""
+    total = sum(r[3] for r in rows)
+    off = 0.0
+    for d in mixing.DIMS:
+        whole = sum(s for e, _, s in targets if e == d)
+        for e, v, s in targets:
+            if e == d:
+                off = max(off, abs(sum(r.tokens * r.weight for r in got if r[d] == v) / total * whole / s - 1))
+    return off
+
+
+def test_raking_of_skewed_cells_goes_on_until_targets_are_met(spark):
+    rows = [(f"s{i}", g, t, (9000 if g == "wxyz"[i % 4] else 60) * (1 + i % 3)) for i in range(8) for g in "wxyz" for t in "pq"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = [("source", f"s{i}", 1.0 + i) for i in range(8)] + [("lang", g, s) for g, s in zip("wxyz", (5.0, 2.0, 2.0, 3.0), strict=True)] + [("topic", "p", 2.0), ("topic", "q", 1.0)]
+    got = mixing.rake(cells, spark.createDataFrame(targets, "dim string, value string, share double"), Scratch(spark, "m")).collect()
+    assert _off(rows, targets, got) < 1.01e-4
+
+
+def test_raking_ends_when_targets_cannot_be_met(spark, caplog):
+    rows = [("a", "x", "p", 10), ("b", "y", "p", 10)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+    targets = [("source", "a", 1.0), ("source", "b", 3.0), ("lang", "x", 1.0), ("lang", "y", 1.0), ("topic", "p", 1.0)]
+    got = mixing.rake(cells, spark.createDataFrame(targets, "dim string, value string, share double"), Scratch(spark, "m")).collect()
+    assert len(got) == 2 and "can't be met" in caplog.text
+
+
 def test_sampling_follows_the_probabilities(spark):
     rows = [(i, "one two three", "en" if i % 3 else "de", "s" if i % 10 else None, 1) for i in range(4000)]
     df = mixing.mix(spark.createDataFrame(rows, DOCS).withColumn("k_source", F.lit(1)), Scratch(spark, "m"))
