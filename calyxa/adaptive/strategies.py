@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calyxa.adaptive.manager import Decision
+from calyxa.operators.ranks import with_rank
 
 
 def filter_strategies(df: DataFrame, condition: Column, selectivity: float) -> Decision:
@@ -55,14 +56,8 @@ def needle_feature(df: DataFrame, pos: str, text: Column, needle: str, size: int
     return df.groupBy(F.floor(F.col(pos) / size).cast("long").alias("chunk")).agg(feature.alias("needle_feature"))
 
 
-#: Rows that a sample for order features has at most.
-MAX_SAMPLE = 100_000
-
-
 def subsample(df: DataFrame, pos: str, step: int) -> DataFrame:
-    """Evenly spaced rows, the second one first; the step is widened so that MAX_SAMPLE rows hold them."""
-    rows = df.agg(F.max(pos)).first()[0]
-    step = max(step, -(-(0 if rows is None else rows + 1) // MAX_SAMPLE))
+    """Every step-th row, the second one first."""
     return df.where(F.col(pos) % step == 1 % step)
 
 
@@ -81,15 +76,37 @@ def count_inversions(values: np.ndarray) -> int:
     return total
 
 
-def order_features(sample: DataFrame, pos: str, col: str) -> DataFrame:
-    """inversions, uniq of a bounded sample: pairs out of order, and distinct values; nulls are left out."""
+#: Rows of a block of positions or values at least, and blocks at most (their table of counts has the square).
+BLOCK_ROWS, BLOCKS = 4096, 1024
 
-    def features(group: pa.Table) -> pa.Table:
-        values = np.array(group.sort_by("i")["v"].to_pylist())
-        return pa.table({"inversions": pa.array([count_inversions(values)]), "uniq": pa.array([len(np.unique(values))])})
 
-    rows = sample.where(F.col(col).isNotNull()).select(F.lit(0).alias("all"), F.col(pos).alias("i"), F.col(col).alias("v"))
-    return rows.groupBy("all").applyInArrow(features, "inversions long, uniq long")
+def order_features(sample: DataFrame, pos: str, col: str) -> DataFrame:
+    """inversions, uniq of a sample: pairs out of order, and distinct values; nulls are left out.
+
+    Places p by position and r by value are cut into blocks.  Pairs within a block of p are
+    counted there, those of two blocks of p within a block of r there, and all others from
+    the number of rows of each (block of p, block of r).
+    """
+    rows = sample.where(F.col(col).isNotNull()).select(F.col(pos).alias("i"), F.col(col).alias("v"))
+    placed = with_rank(with_rank(rows, ["i", "v"], "p"), ["v", "p"], "r")
+    size = max(BLOCK_ROWS, -(-placed.count() // BLOCKS))
+    placed = placed.select("p", "r", F.floor(F.col("p") / size).alias("pb"), F.floor(F.col("r") / size).alias("rb"))
+
+    def within(group: pa.Table, *order: str) -> pa.Table:
+        values = np.array(group.sort_by([(c, "ascending") for c in order])["r"])
+        return pa.table({"inversions": pa.array([count_inversions(values)])})
+
+    by_place = placed.groupBy("pb").applyInArrow(lambda g: within(g, "p"), "inversions long")
+    by_value = placed.groupBy("rb").applyInArrow(lambda g: within(g, "pb", "r"), "inversions long")
+    # at most BLOCKS ** 2 numbers
+    counts = placed.groupBy("pb", "rb").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    table = np.zeros((BLOCKS + 1, BLOCKS + 1), np.int64)
+    table[np.array(counts["pb"], np.int64), np.array(counts["rb"], np.int64)] = np.array(counts["n"], np.int64)
+    earlier = np.cumsum(table, axis=0) - table
+    larger = np.cumsum(earlier[:, ::-1], axis=1)[:, ::-1] - earlier
+    across = int((table * larger).sum())
+    found = by_place.union(by_value).agg((F.coalesce(F.sum("inversions"), F.lit(0)) + F.lit(across)).cast("long").alias("inversions"))
+    return found.crossJoin(rows.agg(F.countDistinct("v").alias("uniq")))
 
 
 def intersection_features(a: DataFrame, b: DataFrame, idx: str = "idx") -> DataFrame:

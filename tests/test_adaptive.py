@@ -104,6 +104,20 @@ def test_features(spark):
     assert tuple(strategies.intersection_features(a, b).first()) == (0.75, 0.5)
 
 
+def test_subsample_keeps_its_step(spark):
+    df = spark.range(10_100_000).withColumnRenamed("id", "p")
+    assert strategies.subsample(df, "p", 100).count() == 101_000
+
+
+def test_order_features_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(strategies, "BLOCK_ROWS", 16)
+    v = np.random.default_rng(3).integers(0, 60, 700)
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)] + [(9999, None)], "p long, v int")
+    want = (int(np.triu(v[:, None] > v[None, :], 1).sum()), len(np.unique(v)))
+    assert tuple(strategies.order_features(df, "p", "v").first()) == want
+    assert tuple(strategies.order_features(df.limit(0), "p", "v").first()) == (0, 0)
+
+
 def test_config(tmp_path):
     raw = {"policy": "cake", "parquet_cache_memory_budget_gb": 2, "filter": {"cake": {"alpha": 0.4, "bandwidth": 0.2}}, "single_policy_config": {"sort_policy": 1}}
     c = config.parse(raw)
