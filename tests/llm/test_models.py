@@ -62,18 +62,58 @@ def test_class_lm_counts_and_base_scores(spark, sf):
     assert sum(r.score for r in ours) > sum(r.base_score for r in ours) and all(r.score < 0 for r in rows)
 
 
-def test_class_lm_is_a_distribution(spark):
-    """Over all known words and one unknown of each class, probabilities after any word sum to 1."""
+def _hash(w):
+    return int(M.signed(np.uint64(M.word_hash(w))))
+
+
+def _brute_lm(texts, held, kinds, counts, model):
+    """score of every text, from classes and counts of words; also log10 of transitions and of emission denominators."""
+    tokens = [[*(t or "").encode().lower().split(), M.END] for t in texts]
+    of = lambda w: kinds.get(_hash(w), model.unseen)
+    between = np.zeros((M.CLASSES, M.CLASSES))
+    for w, out in zip(tokens, held, strict=True):
+        if not out:
+            for a, b in zip([M.END, *w], w, strict=False):
+                between[of(a), of(b)] += 1
+    transition, emission = M.logs_of(between, model)
+    scores = [sum(transition[of(a), of(b)] + math.log10(counts.get(_hash(b), 0) + 1) - emission[of(b)] for a, b in zip([M.END, *w], w, strict=False)) for w in tokens]
+    return scores, transition, emission
+
+
+def test_class_lm_scores_and_classes(spark, monkeypatch):
+    monkeypatch.setattr(M, "TOP", 12)
+    monkeypatch.setattr(M, "KNOWN", 20)
+    rows = corpus(60)
+    texts, held = [r[1] for r in rows] + ["", None, "neverseen the neverseen"], [i % 5 == 0 for i in range(63)]
+    docs = spark.createDataFrame([(i, h, t or "") for i, (t, h) in enumerate(zip(texts, held, strict=True))], "doc_id long, held_out boolean, text string")
     scratch = Scratch(spark, "lm")
-    model, counts = M.fit(spark.createDataFrame([(r[1],) for r in corpus(40)], "text string"), scratch)
-    by_class = collections.Counter()
-    words = {w for r in corpus(40) for w in r[1].encode().lower().split()} | {M.END}
-    items = M._Items(model.items)
-    for w in words:
-        by_class[model.kind[items[w]]] += model.known[int(M.signed(np.uint64(M.xxhash.xxh3_64_intdigest(w))))] + 1
-    for before in range(M.CLASSES):
-        total = sum(10 ** (model.transition[before, k] - model.emission[k]) * (by_class[k] + 1) for k in range(M.CLASSES))
-        assert abs(total - 1) < 1e-6
+    model, vocabulary = M.fit(docs.where("not held_out"), scratch)
+    words = vocabulary.collect()
+    kinds, counts = {r.word: r.kind for r in words}, {r.word: r.n for r in words}
+    train = collections.Counter(w for t, h in zip(texts, held, strict=True) if not h for w in [*(t or "").encode().lower().split(), M.END])
+    assert counts == {_hash(w): n for w, n in train.items()} and len(words) == len(counts) > 40 and model.kind[0] == kinds[_hash(M.END)]
+    want, transition, emission = _brute_lm(texts, held, kinds, counts, model)
+    got = {r.doc_id: r.score for r in M.score(docs, model, vocabulary, scratch).collect()}
+    assert all(abs(got[i] - w) < 1e-6 for i, w in enumerate(want))
+    # over all words and one unseen, probabilities after any class sum to 1
+    total = np.zeros(M.CLASSES)
+    for h, n in counts.items():
+        total += 10 ** (transition[:, kinds[h]] - emission[kinds[h]]) * (n + 1)
+    total += 10 ** (transition[:, model.unseen] - emission[model.unseen])
+    used = np.array([k in kinds.values() or k == model.unseen for k in range(M.CLASSES)])
+    assert np.allclose(total, (10**transition)[:, used].sum(axis=1)) and model.types == len(words)
+
+
+def test_rare_words_go_to_their_likeliest_class(spark):
+    """Contexts of occurrences in several rows of a word count together; ties go to the first class."""
+    width = M.CLASSES + 1
+    rng = np.random.default_rng(1)
+    before, behind, mass = rng.random((width, M.CLASSES)), rng.random((width, M.CLASSES)), rng.random(M.CLASSES)
+    sides = {w: rng.integers(0, width, (w % 7 + 1, 2)).astype(np.uint8) for w in range(50)}
+    rows = [(w, bytearray(x.tobytes())) for w, s in sides.items() for x in np.array_split(s, min(3, len(s)))]
+    got = M.assigned(spark.createDataFrame(rows, "word long, sides binary"), before, behind, mass).collect()
+    want = sorted((w, len(s), int((before[s[:, 0]].sum(0) + behind[s[:, 1]].sum(0) - len(s) * mass).argmax())) for w, s in sides.items())
+    assert sorted((r.word, r.n, r.kind) for r in got) == want
 
 
 def test_exchange_finds_the_better_classes():
@@ -82,6 +122,7 @@ def test_exchange_finds_the_better_classes():
         n[a, b] = n[b, a] = 10
     kind = M.exchange(n, 2)
     assert len(set(kind[:3])) == 1 and len(set(kind[3:])) == 1 and kind[0] != kind[3]
+    assert M.exchange(n, 2, pinned=1)[-1] == 2
 
 
 def test_models_on_empty_tables(spark, empty):
