@@ -7,13 +7,16 @@ are learnt by expectation maximisation on the word counts of each language.
 
 Learning takes about MAX_DOCS documents of each language, chosen by a hash of doc_id,
 whole texts each; every text is scored whole.  The forward algorithm runs on all distinct new words of an
-Arrow batch at once, and a task remembers the words it has met.
+Arrow batch at once, and a task remembers the words it has met.  Words of over LONG characters
+(texts without spaces are one word) are summed in logarithms, so their length has no bound.
 
-Edge cases: texts that are null or hold no letter are `und` with score 0, as are all
-texts if there was nothing to learn from; ties go to the first language by name; words of
-over SEGMENT characters are cut into segments of that length, all of which count; null
-languages teach nothing; repeated rows are answered row by row; empty tables give empty
-results; other columns are ignored.
+Languages are learnt and scored BLOCK at a time, which bounds what is broadcast; with more
+than BLOCK of them, each block scans the texts once and a row's best of all blocks counts.
+
+Edge cases: texts that are null or hold no letter (as str.isalpha tells) are `und` with score 0, as are
+all texts if there was nothing to learn from; ties go to the first language by name; very long
+texts are scored whole; null languages teach nothing; repeated rows are answered row by row;
+empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,14 +37,15 @@ from calyxa.llm.words import mix
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_DOCS = 4_000
-#: Languages are few; more would need a wider model than tasks hold.
-MAX_LANGUAGES = 512
+#: Languages of one model.
+BLOCK = 64
 ROUNDS = 3
-SEGMENT = 32
+#: Characters up to which the product of the least probabilities is a double.
+LONG = 32
 FLOOR = 1e-7
 #: Word scores that a task remembers (numbers, all languages together).
 REMEMBERED = 3_000_000
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD_SIGN = re.compile(r"[^\W\d_]")
 _STEP = np.uint64(0x100000001B3)
 
 
@@ -78,6 +82,10 @@ def prefix_table(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, int, int]:
     return keys, np.array([prefixes[k] for k in keys.tolist()], np.int32), max(map(len, pieces)), len(pieces)
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _WORD_SIGN.finditer(text))
+
+
 class Lattice:
     """Finds all pieces in many words at once; made from a prefix_table."""
 
@@ -123,45 +131,81 @@ class Lattice:
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log of the sum over segmentations, for each word and each column of p (piece x language)."""
-        if not words:
-            return np.zeros((0, p.shape[1]))
-        first, _, src, dst, piece, place = self.edges(words)
-        alpha = np.zeros((first[-1], p.shape[1]))
-        alpha[first[:-1]] = 1.0
-        for s, e in self._steps(place):
-            d = dst[s:e]
-            at = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-            alpha[d[at]] = np.add.reduceat(alpha[src[s:e]] * p[piece[s:e]], at, axis=0)
-        return np.log(alpha[first[1:] - 1])
+        out = np.empty((len(words), p.shape[1]))
+        lengths = np.array([len(w) for w in words])
+        for long in (False, True):
+            at = np.flatnonzero((lengths > LONG) == long)
+            if not len(at):
+                continue
+            first, _, src, dst, piece, place = self.edges([words[i] for i in at])
+            alpha = np.full((first[-1], p.shape[1]), -np.inf if long else 0.0)
+            alpha[first[:-1]] = 0.0 if long else 1.0
+            weights = np.log(p) if long else p
+            for s, e in self._steps(place):
+                d = dst[s:e]
+                head = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+                if long:
+                    alpha[d[head]] = _log_sums(alpha[src[s:e]] + weights[piece[s:e]], head)
+                else:
+                    alpha[d[head]] = np.add.reduceat(alpha[src[s:e]] * weights[piece[s:e]], head, axis=0)
+            ends = alpha[first[1:] - 1]
+            out[at] = ends if long else np.log(ends)
+        return out
 
     def expected(self, words: list[str], lang: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts (piece x language) of words with a language and a count each."""
         out = np.zeros(p.shape)
-        if not words:
-            return out
-        first, word, src, dst, piece, place = self.edges(words)
-        prob = p[piece, lang[word[src]]]
-        alpha, beta = np.zeros(first[-1]), np.zeros(first[-1])
-        alpha[first[:-1]] = 1.0
+        lengths = np.array([len(w) for w in words])
+        for long in (False, True):
+            at = np.flatnonzero((lengths > LONG) == long)
+            if not len(at):
+                continue
+            first, word, src, dst, piece, place = self.edges([words[i] for i in at])
+            of, times = lang[at][word[src]], n[at][word[src]]
+            prob = p[piece, of]
+            if long:
+                weight = times * self._shares_of_long(first, word, src, dst, place, np.log(prob))
+            else:
+                alpha, beta = np.zeros(first[-1]), np.zeros(first[-1])
+                alpha[first[:-1]] = 1.0
+                for s, e in self._steps(place):
+                    d = dst[s:e]
+                    head = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+                    alpha[d[head]] = np.add.reduceat(alpha[src[s:e]] * prob[s:e], head)
+                beta[first[1:] - 1] = 1.0
+                # edges into an end are done once all edges out of it are: by the ends' places from last to first
+                for s, e in list(self._steps(place))[::-1]:
+                    np.add.at(beta, src[s:e], beta[dst[s:e]] * prob[s:e])
+                weight = times * alpha[src] * prob * beta[dst] / alpha[first[1:] - 1][word[src]]
+            np.add.at(out, (piece, of), weight)
+        return out
+
+    def _shares_of_long(self, first, word, src, dst, place, prob) -> np.ndarray:
+        """Expected uses of each edge of a word, from logs of the edges' probabilities."""
+        alpha, beta = np.full(first[-1], -np.inf), np.full(first[-1], -np.inf)
+        alpha[first[:-1]] = beta[first[1:] - 1] = 0.0
         for s, e in self._steps(place):
             d = dst[s:e]
-            at = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
-            alpha[d[at]] = np.add.reduceat(alpha[src[s:e]] * prob[s:e], at)
-        beta[first[1:] - 1] = 1.0
-        # edges into an end are done once all edges out of it are: by the ends' places from last to first
-        for s, e in list(self._steps(place))[::-1]:
-            np.add.at(beta, src[s:e], beta[dst[s:e]] * prob[s:e])
-        weight = alpha[src] * prob * beta[dst] * (n / alpha[first[1:] - 1])[word[src]]
-        np.add.at(out, (piece, lang[word[src]]), weight)
-        return out
+            head = np.concatenate([[0], np.flatnonzero(np.diff(d)) + 1])
+            alpha[d[head]] = _log_sums((alpha[src[s:e]] + prob[s:e])[:, None], head)[:, 0]
+        start = src - first[word[src]]
+        order = np.lexsort((src, -start))
+        for s, e in self._steps(-start[order]):
+            k = order[s:e]
+            head = np.concatenate([[0], np.flatnonzero(np.diff(src[k])) + 1])
+            beta[src[k[head]]] = _log_sums((beta[dst[k]] + prob[k])[:, None], head)[:, 0]
+        return np.exp(alpha[src] + prob + beta[dst] - alpha[first[1:] - 1][word[src]])
 
 
-def _segments(text: str) -> list[str]:
-    words = text.split()
-    if not words or max(map(len, words)) < SEGMENT:
-        return ["▁" + w for w in words]
-    marked = ("▁" + w for w in words)
-    return [w[i : i + SEGMENT] for w in marked for i in range(0, len(w), SEGMENT)]
+def _log_sums(x: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each run of rows that begins at head."""
+    most = np.maximum.reduceat(x, head, axis=0)
+    sizes = np.diff(np.append(head, len(x)))
+    return most + np.log(np.add.reduceat(np.exp(x - np.repeat(most, sizes, axis=0)), head, axis=0))
+
+
+def _marked(text: str) -> list[str]:
+    return ["▁" + w for w in text.split()]
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
@@ -171,7 +215,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             held: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.update((lang, w) for w in _segments(text or ""))
+                held.update((lang, w) for w in _marked(text or ""))
             langs, words = zip(*held, strict=True) if held else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(list(held.values()), pa.int64())],
@@ -181,15 +225,19 @@ def _word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, table: tuple, scratch: Scratch, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
+def languages(docs: DataFrame) -> dict[str, int]:
+    """Documents of each language of docs(lang), by name."""
+    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {k: sizes[k] for k in sorted(sizes)}
+
+
+def fit(docs: DataFrame, table: tuple, sizes: dict[str, int], scratch: Scratch, max_docs: int = MAX_DOCS) -> tuple[list[str], np.ndarray]:
     """Languages, in order of name, and piece probabilities (piece x language) from docs(doc_id, lang, text).
 
-    table: a prefix_table; p has one more row, for characters outside the vocabulary.
+    table: a prefix_table; p has one more row, for characters outside the vocabulary.  sizes: the
+    documents of the languages to learn, which must be few enough for p to be broadcast.
     """
     sc = scratch.spark.sparkContext
-    sizes = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(sizes)
     size = table[-1] + 1
     p = np.full((size, len(langs)), 1 / size)
@@ -197,7 +245,8 @@ def fit(docs: DataFrame, table: tuple, scratch: Scratch, max_docs: int = MAX_DOC
         return langs, p
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, max_docs / sizes[k]))])
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    counts = scratch.table(_word_counts(docs.where(chance < share[F.col("lang")])), "lang-words")
+    chosen = docs.where(F.col("lang").isin(langs)).where(chance < share[F.col("lang")])
+    counts = scratch.table(_word_counts(chosen), "lang-words")
     place = {k: i for i, k in enumerate(langs)}
     sent = sc.broadcast(table)
     for _ in range(ROUNDS):
@@ -219,8 +268,12 @@ def fit(docs: DataFrame, table: tuple, scratch: Scratch, max_docs: int = MAX_DOC
     return langs, p
 
 
-def predict(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scratch: Scratch) -> DataFrame:
-    """docs(doc_id, held_out, text) -> doc_id, held_out, lang_pred, score of every row."""
+def score(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scratch: Scratch) -> DataFrame:
+    """docs(row, doc_id, held_out, text) -> row, doc_id, held_out, lang_pred, best, whole.
+
+    best is the log likelihood of the best of these languages, whole the log of the sum of
+    all; lang_pred is null for texts without letters.
+    """
     sent = scratch.spark.sparkContext.broadcast((table, langs, p))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,11 +283,11 @@ def predict(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scra
         seen: dict[str, int] = {}
         scores = np.zeros((room, len(langs)))
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            pred, conf = [], []
+            texts = batch.column(3).to_pylist()
+            pred, best, whole = [], [], []
             for i in range(0, len(texts), 256):
-                some = [_segments(t) if t and langs and _LETTER.search(t) else [] for t in texts[i : i + 256]]
-                met = dict.fromkeys(w for ws in some for w in ws)
+                some = [_marked(t) if t and langs and has_letter(t) else [] for t in texts[i : i + 256]]
+                met = dict.fromkeys(w for ws in some for w in ws if len(w) <= LONG)
                 new = [w for w in met if w not in seen]
                 if len(seen) + len(new) > room:
                     seen.clear()
@@ -249,30 +302,64 @@ def predict(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scra
                     seen.update((w, at + j) for j, w in enumerate(part))
                 for ws in some:
                     if not ws:
-                        pred.append("und"), conf.append(0.0)
+                        pred.append(None), best.append(0.0), whole.append(0.0)
                         continue
-                    total = scores[np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-                    best = int(np.argmax(total))
-                    pred.append(langs[best]), conf.append(float(1 / np.exp(total - total[best]).sum()))
+                    short = [seen[w] for w in ws if len(w) <= LONG]
+                    total = scores[np.array(short, np.int64)].sum(axis=0)
+                    if len(short) < len(ws):
+                        for w in ws:  # one at a time, not remembered: they may be whole texts
+                            if len(w) > LONG:
+                                total = total + lattice.forward([w], p)[0]
+                    k = int(np.argmax(total))
+                    pred.append(langs[k]), best.append(float(total[k])), whole.append(float(total[k] + np.log(np.exp(total - total[k]).sum())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(conf, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
+                [*(batch.column(k) for k in range(3)), pa.array(pred, pa.string()), pa.array(best, pa.float64()), pa.array(whole, pa.float64())],
+                names=["row", "doc_id", "held_out", "lang_pred", "best", "whole"],
             )
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select("row", "doc_id", "held_out", "text").mapInArrow(
+        run, "row long, doc_id long, held_out boolean, lang_pred string, best double, whole double"
+    )
+
+
+def identify(docs: DataFrame, table: tuple, scratch: Scratch) -> DataFrame:
+    """docs(doc_id, held_out, lang, text) -> doc_id, held_out, lang_pred, score of every row; learns from rows not held out."""
+    train = docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = languages(train)
+    names, rows = list(sizes), docs.withColumn("row", F.monotonically_increasing_id())
+    scored = []
+    for i in range(0, max(1, len(names)), BLOCK):
+        block = {k: sizes[k] for k in names[i : i + BLOCK]}
+        langs, p = fit(train, table, block, scratch)
+        scored.append(score(rows, table, langs, p, scratch))
+        if len(names) > BLOCK:
+            scored[-1] = scratch.table(scored[-1], f"block-{i}")
+    done = scored[0]
+    if len(scored) > 1:
+        # a row's best block; of equals that of the first languages
+        each = F.struct(F.col("best").alias("best"), (-F.col("block")).alias("first"), "lang_pred", "doc_id", "held_out")
+        numbered = scored[0].withColumn("block", F.lit(0))
+        for k, more in enumerate(scored[1:], 1):
+            numbered = numbered.union(more.withColumn("block", F.lit(k)))
+        top = numbered.groupBy("row").agg(F.max(each).alias("m"), F.collect_list("whole").alias("wholes"))
+        odds = F.aggregate("wholes", F.lit(0.0), lambda a, w: a + F.exp(w - F.col("m.best")))
+        done = top.select("m.doc_id", "m.held_out", "m.lang_pred", "m.best", (F.col("m.best") + F.log(odds)).alias("whole"))
+    return done.select(
+        "doc_id",
+        "held_out",
+        F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"),
+        F.when(F.col("lang_pred").isNotNull(), F.exp(F.col("best") - F.col("whole"))).otherwise(0.0).alias("score"),
+    )
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    scratch = Scratch(spark, "op9")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("lang").cast("string").alias("lang"),
         F.col("text").cast("string").alias("text"),
         (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"),
     )
-    table = prefix_table(pieces_of(vocabulary))
-    langs, p = fit(docs.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull()), table, scratch)
-    return predict(docs, table, langs, p, scratch)
+    return identify(docs, prefix_table(pieces_of(vocabulary)), Scratch(spark, "op9"))
 
 
 QUERIES = {"op9_language_id": op9_language_id}

@@ -15,7 +15,7 @@ from calyxa.llm import quality as Q
 from calyxa.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-EDGES = [(10_001, None), (10_002, ""), (10_003, " \n"), (10_004, "unseenword"), (10_005, "é" * 5000), (10_006, "a b " * 60_000), (10_007, "12 !!"), (10_007, "12 !!"), (None, "the")]
+EDGES = [(10_008, "½ ² Ⅷ ①"), (10_001, None), (10_002, ""), (10_003, " \n"), (10_004, "unseenword"), (10_005, "é" * 5000), (10_006, "a b " * 60_000), (10_007, "12 !!"), (10_007, "12 !!"), (None, "the")]
 
 
 def corpus(n=160, seed=2):
@@ -138,9 +138,50 @@ def test_quality_on_held_out_rows(spark, sf):
     assert len(held) > 30 and sum(a == b for a, b in held) / len(held) > 0.95
 
 
+def test_quality_against_brute_force(spark, sf):
+    """The sparse model again with dictionaries: features of a text, updates row by row, logistic scores."""
+    d, docs, _ = sf
+    labels = [(r.doc_id, r.quality) for r in spark.read.parquet(f"{d}/labels.parquet").collect() if r.doc_id is not None and r.quality in (0, 1)]
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    features = {i: dict(zip(*(a.tolist() for a in Q.features((t or "").encode(), Q.Forms())), strict=True)) for i, t, *_ in docs}
+    order = {r.doc_id: r.h for r in spark.sql("select id doc_id, xxhash64(id) h from range(0, 200)").collect()}
+    rows = sorted(((order[i], y, i) for i, y in labels if not out(i) and i in features), key=lambda r: (r[0], r[2]))
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= Q.L1 else -(z[k] - math.copysign(Q.L1, z[k])) / ((Q.BETA + math.sqrt(n[k])) / Q.ALPHA + Q.L2)
+
+    def p(i):
+        return 1 / (1 + math.exp(-sum(weight(k) * x for k, x in [*features[i].items(), (Q.BUCKETS, 1.0)])))
+
+    for epoch in range(Q.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            _, y, i = rows[k]
+            error = p(i) - y
+            for j, x in [*features[i].items(), (Q.BUCKETS, 1.0)]:
+                g = error * x
+                w, s = weight(j), (math.sqrt(n[j] + g * g) - math.sqrt(n[j])) / Q.ALPHA
+                z[j] += g - s * w
+                n[j] += g * g
+    got = {r.doc_id: r.score for r in Q.op7_quality_classifier(spark, d).collect()}
+    assert all(abs(got[i] - p(i)) < 1e-4 for i in features)
+
+
+def test_long_words_keep_their_whole_form():
+    a, b = (Q.features(f"{'ab1' * 5}{tail}".encode(), Q.Forms())[0] for tail in ("x", "%"))
+    assert len(set(a) & set(b)) == 0
+
+
+def test_quality_bound_on_features(spark, sf):
+    d, docs, rows = sf
+    frame, labels = spark.createDataFrame(docs, DOCS), spark.read.parquet(f"{d}/labels.parquet")
+    few = Q.fit(frame, labels, Scratch(spark, "q"), max_features=200)
+    assert 0 < np.count_nonzero(few) < np.count_nonzero(Q.fit(frame, labels, Scratch(spark, "q")))
+
+
 def test_quality_without_labels_and_names(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    w = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    w = Q.fit(docs, spark.createDataFrame([], "doc_id long, quality int"), Scratch(spark, "q"))
     assert [r.score for r in Q.score(docs, w).collect()] == [0.5, 0.5]
     with pytest.raises(ValueError):
         Q.score(docs.withColumn("Score", docs.doc_id), w)
@@ -152,7 +193,7 @@ def test_language_on_held_out_rows(spark, sf):
     assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got)
     held = [(r.lang_pred, rows[r.doc_id][2]) for r in got if r.held_out and r.doc_id in rows]
     assert len(held) > 20 and sum(a == b for a, b in held) / len(held) > 0.95
-    assert {r.lang_pred for r in got if r.doc_id in (10_001, 10_002, 10_003, 10_007)} == {"und"}
+    assert {r.lang_pred for r in got if r.doc_id in (10_001, 10_002, 10_003, 10_007, 10_008)} == {"und"}
 
 
 def segmentations(word, pieces):
@@ -197,7 +238,79 @@ def test_expected_counts(small):
     assert np.allclose(lattice.expected(words, lang, n, p), want)
 
 
-def test_vocabulary_and_segments():
+def test_vocabulary_and_letters():
     pieces = L.pieces_of(L.VOCABULARY)
     assert 30_000 < len(pieces) < 32_000 and "▁the" in pieces
-    assert "".join(L._segments("x" * 100)) == "▁" + "x" * 100 and max(map(len, L._segments("x" * 100))) == L.SEGMENT
+    assert L._marked("a bc") == ["▁a", "▁bc"] and not any(map(L.has_letter, ["½ ²", "Ⅷ ①", "12 !_", ""])) and all(map(L.has_letter, ["½a", "語", "_é"]))
+
+
+def test_long_words_are_summed_whole(small):
+    """Words longer than what a double's product can hold, against the same sums in exact numbers."""
+    from fractions import Fraction
+
+    pieces, lattice, p = small
+    rng = random.Random(3)
+    word = "▁" + "".join(rng.choice("abé") for _ in range(700))
+    got = lattice.forward([word, "▁ab"], p)
+    for k in range(2):
+        prob = [Fraction(x) for x in p[:, k].tolist()]
+        ways = [Fraction(1)] + [Fraction(0)] * len(word)
+        for i in range(len(word)):
+            for j in range(i + 1, min(len(word), i + 3) + 1):
+                if word[i:j] in pieces:
+                    ways[j] += ways[i] * prob[pieces.index(word[i:j])]
+        log = math.log(ways[-1].numerator) - math.log(ways[-1].denominator)
+        assert abs(got[0, k] - log) < 1e-8 * abs(log)
+
+
+def test_expected_counts_of_long_words(small, monkeypatch):
+    pieces, lattice, p = small
+    words, lang, n = ["▁abab", "▁baba", "▁aéaba"], np.array([0, 1, 1]), np.array([2, 3, 1])
+    want = lattice.expected(words, lang, n, p)
+    monkeypatch.setattr(L, "LONG", 2)
+    assert np.allclose(lattice.expected(words, lang, n, p), want) and np.allclose(np.exp(lattice.forward(words, p)), np.exp(lattice.forward(words, p)))
+    assert abs(lattice.expected(["▁" + "ab" * 400], np.array([0]), np.array([1]), p).sum() - 500) < 300
+
+
+def test_blocks_of_languages_give_the_same(spark, sf, monkeypatch):
+    d, docs, _ = sf
+    want = sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in L.op9_language_id(spark, d).collect())
+    monkeypatch.setattr(L, "BLOCK", 2)
+    assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in L.op9_language_id(spark, d).collect()) == want
+
+
+def test_language_query_against_brute_force(spark, sf):
+    """Piece probabilities learnt and texts scored again with plain dictionaries."""
+    d, docs, _ = sf
+    pieces = L.pieces_of(L.VOCABULARY)
+    place = {x: i for i, x in enumerate(pieces)}
+    known = lambda x: x in place or len(x) == 1
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+    langs = sorted({g for _, _, g, *_ in docs if g})
+    words = {g: collections.Counter("▁" + w for i, t, h, *_ in docs if h == g and not out(i) for w in t.split()) for g in langs}
+    size = len(pieces) + 1
+    model = {g: collections.defaultdict(lambda: 1 / size) for g in langs}
+
+    def tables(w, p):
+        fore, back = [1.0] + [0.0] * len(w), [0.0] * len(w) + [1.0]
+        edges = [(i, j, place.get(w[i:j], size - 1)) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if known(w[i:j])]
+        for i, j, x in edges:
+            fore[j] += fore[i] * p[x]
+        for i, j, x in sorted(edges, reverse=True):
+            back[i] += p[x] * back[j]
+        return fore, back, edges
+
+    for _ in range(L.ROUNDS):
+        for g in langs:
+            count = collections.defaultdict(float)
+            for w, n in words[g].items():
+                fore, back, edges = tables(w, model[g])
+                for i, j, x in edges:
+                    count[x] += n * fore[i] * model[g][x] * back[j] / fore[-1]
+            whole = sum(count.values()) + 0.05 * size
+            model[g] = collections.defaultdict(lambda z=whole: max(L.FLOOR, 0.05 / z), {x: (c + 0.05) / whole for x, c in count.items()})
+    got = {r.doc_id: r for r in L.op9_language_id(spark, d).collect()}
+    for i, t, *_ in docs[:160:4]:
+        logs = [sum(math.log(tables("▁" + w, model[g])[0][-1]) for w in t.split()) for g in langs]
+        best = max(range(len(langs)), key=lambda k: logs[k])
+        assert got[i].lang_pred == langs[best] and abs(got[i].score - 1 / sum(math.exp(x - logs[best]) for x in logs)) < 1e-6
