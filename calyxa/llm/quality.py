@@ -4,11 +4,12 @@ A text has two blocks of features, hashed to BUCKETS columns: its distinct words
 pairs, all of the same value, and the runs of one to three word forms (letters, digits
 and signs of a word in short, marked if the word is said twice in a row), by how often
 they occur.  Both blocks have length 1, so a score is one sparse dot product that does
-not grow with the text.  Weights are learnt in one task from about MAX_TRAIN labelled rows chosen
-by a hash of their ids (the bound is the parameter); all rows are scored, whole.
+not grow with the text.  Weights are learnt in one task from a bounded sample of labelled rows, whole
+texts each, chosen by a hash of their ids: about MAX_TRAIN rows, and fewer if these have over
+MAX_FEATURES features (both bounds are parameters); all rows are scored, whole.
 
-Edge cases: null or empty text has no features and is scored by the intercept; without
-labelled rows every score is 0.5; null labels and labels other than 0 and 1 teach
+Edge cases: null or empty text has no features and is scored by the intercept; very long texts
+have at most 2 * BUCKETS features; without labelled rows every score is 0.5, which predicts 1; null labels and labels other than 0 and 1 teach
 nothing; a doc_id labelled twice teaches twice; repeated rows are scored row by row;
 empty tables give empty results; other columns are ignored.
 """
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from calyxa.llm.class_lm import crc_mod
-from calyxa.llm.scratch import free_name
+from calyxa.llm.scratch import Scratch, free_name
 from calyxa.llm.words import CACHE_WORDS, column_bytes, mix, ngram_hashes, released, slices
 
 BUCKETS = 1 << 18
 MAX_TRAIN = 12_000
+MAX_FEATURES = 24_000_000
 EPOCHS = 3
 _RUNS = re.compile(r"(.)\1+", re.S)
 #: Parameters of FTRL-proximal.
@@ -55,7 +57,7 @@ class Forms(dict):
     def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        form = _RUNS.sub(r"\1", word.decode().translate(self.kinds))[:12]
+        form = _RUNS.sub(r"\1", word.decode().translate(self.kinds))
         got = self[word] = (xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(form, 1))
         return got
 
@@ -97,7 +99,9 @@ def _train(rows: Iterator[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPO
     return weights(slice(None))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> np.ndarray:
+def fit(
+    docs: DataFrame, labels: DataFrame, scratch: Scratch, label: str = "quality", max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES
+) -> np.ndarray:
     """Weights learnt from docs(doc_id, text) and labels(doc_id, label)."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")
@@ -133,7 +137,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = sample.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-    rows = sample.mapInArrow(extract, "doc_id long, y int, i array<int>, x array<float>")
+    rows = scratch.table(sample.mapInArrow(extract, "doc_id long, y int, i array<int>, x array<float>"), "features")
+    found = rows.agg(F.sum(F.size("i"))).first()[0] or 0
+    if found > max_features:
+        rows = rows.where(chance < share * max_features / found)
     one = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "y")
     got = one.select("doc_id", "y", "i", "x").mapInArrow(learn, "i long, w double").toArrow()
     weights = np.zeros(BUCKETS + 1)
@@ -170,7 +177,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     )
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    weights = fit(docs, labels.where(~held_out(F.col("doc_id"))))
+    weights = fit(docs, labels.where(~held_out(F.col("doc_id"))), Scratch(spark, "op7"))
     scored = score(docs, weights)
     return scored.select(
         "doc_id",
