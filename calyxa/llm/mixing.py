@@ -2,10 +2,10 @@
 
 Documents fall into cells of (source, language, topic).  The tokens of the cells are
 raked: in turn for each dimension, the weights of all cells with a value are scaled so
-that their tokens meet the value's target share.  A document is sampled, by a uniform number
-made from its id, with probability min(1, weight); what sampling once cannot give is left
-as its repeats, max(1, weight), so tokens times repeats of the sample are expected to
-meet the target shares, each to within TOLERANCE of itself.
+that their tokens meet the value's target share.  A document of weight w is taken floor(w) times,
+and once more with probability w - floor(w), decided by a uniform number made from its id.  So the
+expected tokens of the sample meet the target shares, each to within TOLERANCE of itself, and
+are as many as those of all documents.  `reached` reports the shares of a sample.
 
 Raking takes ROUNDS rounds, and further ones until the largest relative error of a value's
 tokens is at most TOLERANCE (the registered SQL always takes ROUNDS).  Targets that contradict each other (as of a language that only
@@ -18,7 +18,8 @@ written to the shared folder, so the plan of a round does not grow.
 Edge cases: null source, language, topic count as the value ''; null or blank text has
 no tokens (cells of a value without tokens keep weight 1); targets for values that do
 not occur are shared out among those that do; a null doc_id is sampled like the id '';
-repeated rows are sampled alike; an empty table gives an empty result; other columns
+repeated rows and rows of one id are sampled alike, as ids of equal numbers (ties) are; very
+long texts count with all their tokens; an empty table gives an empty result; other columns
 stay as they are, but those that begin with mix_ and are named below are replaced.
 """
 
@@ -29,12 +30,14 @@ import logging
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calyxa.llm.scratch import Scratch
+from calyxa.llm.scratch import Scratch, free_name
 
 DIMS = ("source", "lang", "topic")
 #: Rounds before the errors are first looked at, and between looks.
 ROUNDS = 10
 TOLERANCE, STALLED = 1e-4, 1e-3
+#: Cells of a partition while raking; their number grows with the sources.
+CELLS = 100_000
 #: Shares of the registered query: the tokens of a value to this power.
 TEMPER = 0.7
 SEED = "calyxa"
@@ -75,17 +78,18 @@ def _error(at: DataFrame) -> float:
 
 def rake(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """cells(source, lang, topic, tokens), targets(dim, value, share) -> cells with weight."""
+    parts = 1 + cells.count() // CELLS
     goal = _sums(cells, "tokens").where("tokens > 0").join(targets, ["dim", "value"]).select("dim", "value", "share")
     whole = goal.groupBy("dim").agg(F.sum("share").alias("whole"))
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     goal = scratch.table(
-        goal.join(whole, "dim").select("dim", "value", (F.col("share") / F.col("whole") * total).alias("goal")).coalesce(1), "goal"
+        goal.join(whole, "dim").select("dim", "value", (F.col("share") / F.col("whole") * total).alias("goal")).coalesce(parts), "goal"
     )
     at = cells.withColumn("now", F.col("tokens").cast("double"))
     for d in DIMS:
         mine = goal.where(F.col("dim") == d).select(F.col("value").alias(d), F.col("goal").alias(f"goal_{d}"))
         at = at.join(mine, d, "left")
-    at = scratch.table(at.coalesce(1), "raked-0")
+    at = scratch.table(at.coalesce(parts), "raked-0")
     k, last = 0, float("inf")
     while True:
         if k >= rounds and (k - rounds) % ROUNDS == 0:
@@ -101,7 +105,7 @@ def rake(cells: DataFrame, targets: DataFrame, scratch: Scratch, rounds: int = R
             sums = at.groupBy(d).agg(F.sum("now").alias("is"))
             scale = F.when(F.col("is") > 0, F.col(f"goal_{d}") / F.col("is"))
             at = at.join(sums, d).withColumn("now", F.col("now") * F.coalesce(scale, F.lit(1.0))).drop("is")
-        at = scratch.table(at.coalesce(1), f"raked-{k}")
+        at = scratch.table(at.coalesce(parts), f"raked-{k}")
         scratch.drop(f"raked-{k - 1}")
     weight = F.when(F.col("tokens") > 0, F.col("now") / F.col("tokens")).otherwise(1.0)
     return at.select(*DIMS, "tokens", weight.alias("weight"))
@@ -113,39 +117,75 @@ def uniform(doc_id: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, targets: DataFrame | None = None) -> DataFrame:
-    """docs with mix_tokens, mix_topic, mix_weight, mix_probability, mix_repeats, mix_sampled.
-
-    topic names a column; without it topics are told by form.  Without targets (dim,
-    value, share) each dimension's shares are its tokens to the power TEMPER.
-    """
+def annotated(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """docs with mix_tokens and mix_topic; topic names a column, without it topics are told by form."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     made = topic_of(text, F.col("mix_tokens")) if topic is None else F.coalesce(F.col(topic).cast("string"), F.lit(""))
-    rows = docs.withColumn("mix_tokens", n_tokens(text)).withColumn("mix_topic", made)
+    return docs.withColumn("mix_tokens", n_tokens(text)).withColumn("mix_topic", made)
+
+
+def weighed(rows: DataFrame, scratch: Scratch, targets: DataFrame | None = None) -> DataFrame:
+    """rows(doc_id, source, lang, mix_tokens, mix_topic) with mix_weight, mix_probability (to be in the sample), mix_copies, mix_sampled.
+
+    Without targets (dim, value, share) each dimension's shares are its tokens to the power TEMPER.
+    """
     keys = {d: F.coalesce(F.col(d).cast("string"), F.lit("")) for d in DIMS[:2]} | {"topic": F.col("mix_topic")}
-    cells = scratch.table(
-        rows.groupBy(*[c.alias(d) for d, c in keys.items()]).agg(F.sum("mix_tokens").alias("tokens")).coalesce(1), "cells"
-    )
+    cells = scratch.table(rows.groupBy(*[c.alias(d) for d, c in keys.items()]).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     raked = rake(cells, tempered_targets(cells) if targets is None else targets, scratch)
-    weights = raked.select(*[F.col(d).alias(f"__k_{d}") for d in DIMS], F.col("weight").alias("mix_weight"))
-    on = [c == F.col(f"__k_{d}") for d, c in keys.items()]
+    names = {d: free_name(rows, f"mix_key_{d}") for d in DIMS}
+    weights = raked.select(*[F.col(d).alias(names[d]) for d in DIMS], F.col("weight").alias("mix_weight"))
+    on = [c == F.col(names[d]) for d, c in keys.items()]
+    weight, whole = F.col("mix_weight"), F.floor("mix_weight")
+    copies = whole + F.when(uniform(F.col("doc_id")) < weight - whole, 1).otherwise(0)
     return (
-        rows.join(weights, on, "left")
-        .drop(*[f"__k_{d}" for d in DIMS])
-        .withColumn("mix_probability", F.least(F.lit(1.0), F.col("mix_weight")))
-        .withColumn("mix_repeats", F.greatest(F.lit(1.0), F.col("mix_weight")))
-        .withColumn("mix_sampled", uniform(F.col("doc_id")) < F.col("mix_probability"))
+        rows.drop("mix_weight")
+        .join(weights, on, "left")
+        .drop(*names.values())
+        .withColumn("mix_probability", F.least(F.lit(1.0), weight))
+        .withColumn("mix_copies", copies.cast("long"))
+        .withColumn("mix_sampled", F.col("mix_copies") > 0)
     )
 
 
+def mix(docs: DataFrame, scratch: Scratch, topic: str | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """docs with the columns that `annotated` and `weighed` add."""
+    return weighed(annotated(docs, topic), scratch, targets)
+
+
+def sampled(mixed: DataFrame) -> DataFrame:
+    """The sample: every row of `mix` as often as its copies, with mix_copy, from 1, instead of mix_sampled."""
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))
+    return mixed.where("mix_copies > 0").drop("mix_sampled").withColumn("mix_copy", copies)
+
+
+def reached(mixed: DataFrame) -> DataFrame:
+    """dim, value, target (expected share of tokens), share (of the sample's tokens)."""
+    value = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(d).alias("dim"), F.coalesce(F.col("mix_topic" if d == "topic" else d).cast("string"), F.lit("")).alias("value"))
+                for d in DIMS
+            ]
+        )
+    ).alias("v")
+    tokens = F.col("mix_tokens")
+    sums = mixed.select(value, (tokens * F.col("mix_weight")).alias("w"), (tokens * F.col("mix_copies")).alias("c"))
+    sums = sums.groupBy("v.dim", "v.value").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
+    whole = sums.groupBy("dim").agg(F.sum("w").alias("ws"), F.sum("c").alias("cs"))
+    return sums.join(F.broadcast(whole), "dim").select("dim", "value", (F.col("w") / F.col("ws")).alias("target"), (F.col("c") / F.col("cs")).alias("share"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    return mix(docs, Scratch(spark, "op3")).select(
+    scratch = Scratch(spark, "op3")
+    rows = scratch.table(annotated(docs).drop("text"), "rows")
+    return weighed(rows, scratch).select(
         "doc_id",
         F.col("mix_tokens").alias("n_tokens"),
         F.col("mix_topic").alias("topic"),
         F.round("mix_weight", 6).alias("weight"),
         F.round("mix_probability", 6).alias("probability"),
+        F.col("mix_copies").alias("copies"),
         F.col("mix_sampled").alias("sampled"),
     )
 
@@ -181,7 +221,9 @@ def _oracle() -> str:
     ctes.append(f"w AS MATERIALIZED (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN now / tokens ELSE 1 END AS weight FROM at_{step})")
     u = f"CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0"
     return "WITH " + ",\n".join(ctes) + f"""
-SELECT d.doc_id, d.n_tokens, d.topic, round(w.weight, 6) AS weight, round(least(1.0, w.weight), 6) AS probability, {u} < least(1.0, w.weight) AS sampled
+SELECT d.doc_id, d.n_tokens, d.topic, round(w.weight, 6) AS weight, round(least(1.0, w.weight), 6) AS probability,
+  CAST(floor(w.weight) AS BIGINT) + CASE WHEN {u} < w.weight - floor(w.weight) THEN 1 ELSE 0 END AS copies,
+  CAST(floor(w.weight) AS BIGINT) + CASE WHEN {u} < w.weight - floor(w.weight) THEN 1 ELSE 0 END > 0 AS sampled
 FROM topical d JOIN w ON d.source = w.source AND d.lang = w.lang AND d.topic = w.topic
 """
 

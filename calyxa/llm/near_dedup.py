@@ -18,9 +18,10 @@ Hot groups: buckets are reduced by partial aggregation; pairs are confirmed in c
 bounded numbers of nodes (salted by the group's size), so no task sees a whole group.
 
 Edge cases: null or blank text has no set, links with nothing and is kept; fewer words
-than a shingle form one shingle; a null doc_id is never linked (component null, kept);
-repeated rows are answered row by row; an empty table gives an empty result; extra
-columns are ignored.
+than a shingle form one shingle; very long texts are one set of 8 bytes per shingle; of rows
+equally good as a centre the one of smallest fingerprint is it; a null doc_id is never linked
+(component null, kept); repeated rows are answered row by row; rows of one doc_id with different texts
+are told apart by text_hash and group; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,21 +31,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyxa.llm.components import connected_components
-from calyxa.llm.scratch import Scratch
+from calyxa.llm.scratch import Scratch, free_name
 from calyxa.llm.words import WordHashes, column_bytes, mix, released, shingle_set, signed, slices, split_words
 
 #: Nodes of a cell on either side.
 CELL = 256
+#: Pairs of a cell, about.
+PAIRS = 1024
 #: Shingles by which repeated candidates are told; more of them may repeat a pair, never lose it.
 HEAD = 64
 #: Families of more than one cell that are still broadcast.
 MAX_BROADCAST_FAMILIES = 50_000
 
 
+#: Columns of the keys of dropped rows; a clash with columns of docs would need these very names.
+_ID, _HASH = "calyxa near_dedup id", "calyxa near_dedup hash"
+
+
 @dataclass(frozen=True)
 class NearDedup:
     """Shingles of `words` words; linked from a Jaccard similarity of num/den.
@@ -105,8 +112,13 @@ def fingerprint(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
     return np.add.reduce(mix(s), dtype=np.uint64), np.bitwise_xor.reduce(mix(s + np.uint64(1)))
 
 
+def text_hash(text: Column) -> Column:
+    """With doc_id, what tells rows of different texts apart; the same in every scan."""
+    return F.xxhash64(text)
+
+
 def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
-    """doc_id, set size n, set fingerprint (k1, k2) and bucket keys of every row."""
+    """doc_id, text_hash, set size n, set fingerprint (k1, k2) and bucket keys of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, signer = WordHashes(), _Signer(p)
@@ -121,17 +133,19 @@ def signatures(docs: DataFrame, p: NearDedup) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
+                    batch.column(batch.schema.get_field_index("text_hash")),
                     pa.array(np.array(n, np.int64)),
                     pa.array(signed(np.array(k1, np.uint64))),
                     pa.array(signed(np.array(k2, np.uint64))),
                     pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))),
                 ],
-                names=["doc_id", "n", "k1", "k2", "bands"],
+                names=["doc_id", "text_hash", "n", "k1", "k2", "bands"],
             )
         released()
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bands array<long>")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), text_hash(text).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>")
 
 
 def _shingle_sets(rows: DataFrame, p: NearDedup) -> DataFrame:
@@ -194,12 +208,15 @@ def _added(pairs: pa.Table, nodes: pa.Table) -> pa.Table:
 def _by_cells(pairs: DataFrame, sets: DataFrame, f, schema: str, scratch: Scratch, name: str) -> DataFrame:
     """f on the pairs(a, b, family) and the sets of their nodes, cell by cell.
 
-    A family is dealt to cells of about CELL x CELL nodes; a cell gets each of its sets once.
+    A family is dealt to cells of about CELL x CELL nodes at most, and of about PAIRS pairs; a cell
+    gets each of its sets once.
     """
     pairs = scratch.table(pairs, f"{name}-pairs")
-    sizes = pairs.groupBy("family").agg(
-        F.ceil(F.approx_count_distinct("a") / CELL).cast("int").alias("sa"),
-        F.ceil(F.approx_count_distinct("b") / CELL).cast("int").alias("sb"),
+    sizes = (
+        pairs.groupBy("family")
+        .agg(F.approx_count_distinct("a").alias("da"), F.approx_count_distinct("b").alias("db"), F.count(F.lit(1)).alias("n"))
+        .withColumn("sa", F.ceil(F.col("da") / CELL).cast("int"))
+        .select("family", "sa", F.least("db", F.greatest(F.ceil(F.col("db") / CELL), F.ceil(F.col("n") / F.col("sa") / PAIRS))).cast("int").alias("sb"))
     )
     large = scratch.table(sizes.where("sa > 1 or sb > 1"), f"{name}-large")
     few = large.count() <= MAX_BROADCAST_FAMILIES
@@ -275,7 +292,11 @@ def _undecided(tested: DataFrame, labels: DataFrame, sets: DataFrame, p: NearDed
 
 
 def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
-    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept."""
+    """One row per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept, text_hash, group.
+
+    group names the row's component by content (rows without a set or doc_id have none): where a
+    doc_id occurs with different texts, it tells components apart that have a component_id in common.
+    """
     signed_rows = scratch.table(signatures(docs, p), "signed")
     sized = signed_rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.table(
@@ -324,26 +345,71 @@ def near_duplicates(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFram
     smallest = member.groupBy("label").agg(F.min("rep").alias("component"))
     of_class = scratch.table(
         classes.join(
-            member.join(smallest, "label").select(F.col("node").alias("k1"), "component"), "k1", "left"
-        ).select("k1", "k2", "n", F.coalesce("component", "rep").alias("component")),
+            member.join(smallest, "label").select(F.col("node").alias("k1"), "component", "label"), "k1", "left"
+        ).select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("label", "k1").alias("group")),
         "components",
     )
     scratch.drop("star", "sets", "star-pairs", "added-pairs", "rest-pairs", "tested", "tested-rest", "families", "mixed", "added", "met")
     return (
-        signed_rows.select("doc_id", "k1", "k2", "n")
+        signed_rows.select("doc_id", "text_hash", "k1", "k2", "n")
         .join(of_class, ["k1", "k2", "n"], "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+            "text_hash",
+            F.when(F.col("doc_id").isNotNull(), F.col("group")).alias("group"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def one_of_each(docs: DataFrame, p: NearDedup, scratch: Scratch) -> DataFrame:
+    """The rows of docs that stay when one row of each component does: that of smallest doc_id, then text_hash.
+
+    Rows are dropped by doc_id and text, so a row stays if its text has no near duplicate, whatever
+    other texts its doc_id has.  Of rows equal in doc_id and text one stays; all rows without a
+    set or with a null doc_id stay.
+    """
+    found = scratch.table(near_duplicates(docs, p, scratch).select("doc_id", "text_hash", "group", "kept"), "found")
+    grouped = found.where(F.col("group").isNotNull())
+    # of the rows of smallest doc_id, few components have several
+    several = (
+        grouped.where("kept")
+        .groupBy("group")
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("text_hash").alias("first"), F.max("text_hash").alias("last"))
+        .where("rows > 1")
+    )
+    several = scratch.table(several, "several")
+    gone = grouped.where(~F.col("kept")).select("doc_id", "text_hash")
+    if several.isEmpty():
+        return _without(docs, gone.distinct())
+    also = grouped.where("kept").join(several.where("first != last"), "group").where(F.col("text_hash") != F.col("first"))
+    gone = gone.union(also.select("doc_id", "text_hash")).distinct()
+    stays = _without(docs, gone)
+    # rows that occur more than once, of which one stays
+    twice = grouped.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    key, hashed = free_name(docs, "text_hash"), text_hash(F.col("text").cast("string"))
+    repeated = stays.withColumn(key, hashed).join(
+        twice.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH)),
+        (F.col("doc_id").cast("long") == F.col(_ID)) & (F.col(key) == F.col(_HASH)),
+        "left_semi",
+    )
+    once = repeated.dropDuplicates(["doc_id", key]).select(*[f"`{c}`" for c in docs.columns])
+    return _without(stays, twice).union(once)
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows of (doc_id, text_hash)."""
+    gone = gone.select(F.col("doc_id").alias(_ID), F.col("text_hash").alias(_HASH))
+    same = (F.col("doc_id").cast("long") == F.col(_ID)) & (text_hash(F.col("text").cast("string")) == F.col(_HASH))
+    return docs.join(gone, same, "left_anti")
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, CONTRACT, Scratch(spark, "op1"))
+    found = near_duplicates(docs, CONTRACT, Scratch(spark, "op1"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}

@@ -60,7 +60,28 @@ def test_sampling_follows_the_probabilities(spark):
     df = mixing.mix(spark.createDataFrame(rows, DOCS).withColumn("k_source", F.lit(1)), Scratch(spark, "m"))
     got = df.groupBy("lang", "source").agg(F.avg("mix_probability").alias("p"), F.avg(F.col("mix_sampled").cast("int")).alias("q"), F.count(F.lit(1)).alias("n")).collect()
     assert len(got) == 4 and all(abs(r.p - r.q) < 4 * (r.p * (1 - r.p) / r.n) ** 0.5 + 1e-9 for r in got)
-    assert df.where("abs(mix_probability * mix_repeats - mix_weight) > 1e-12 or mix_probability > 1 or mix_repeats < 1").isEmpty() and "k_source" in df.columns
+    assert df.where("abs(mix_copies - mix_weight) >= 1 or mix_probability > 1 or mix_sampled != (mix_copies > 0)").isEmpty() and "k_source" in df.columns
+    assert mixing.sampled(df).count() == df.agg(F.sum("mix_copies")).first()[0]
+
+
+def test_sample_meets_its_targets(spark):
+    """Shares of the sample's tokens, copies counted, lie within sampling error of the targets, also where weights are far above 1."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["en", "en", "en", "de"]), "big" if i % 10 else f"s{i % 3}", 1) for i in range(6000)]
+    targets = [("source", "big", 1.0), ("source", "s0", 2.0), ("source", "s1", 1.0), ("source", "s2", 1.0), ("lang", "en", 1.0), ("lang", "de", 1.0), ("topic", "brief", 1.0)]
+    made = mixing.mix(spark.createDataFrame(rows, DOCS), Scratch(spark, "m"), targets=spark.createDataFrame(targets, "dim string, value string, share double"))
+    got = {(r.dim, r.value): r for r in mixing.reached(made).collect()}
+    assert made.agg(F.max("mix_weight")).first()[0] > 5
+    for d, v, s in targets:
+        goal = s / sum(x for e, _, x in targets if e == d)
+        assert abs(got[d, v].target - goal) < 2e-4 and abs(got[d, v].share - goal) < 0.02, (d, v)
+
+
+def test_cells_may_be_many(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELLS", 3)
+    rows = [(i, "a b c", "en", f"s{i % 7}", 1) for i in range(50)]
+    made = mixing.mix(spark.createDataFrame(rows, DOCS), Scratch(spark, "m"))
+    assert made.count() == 50 and max(abs(r.target - r.share) for r in mixing.reached(made).collect()) < 0.15
 
 
 def test_mixing_edges(spark):
@@ -111,7 +132,40 @@ def test_stages(spark, sf):
 def test_run(spark, sf):
     d, _ = sf
     out = C.run(spark, d)
-    assert 0 < out.count() <= 82 and {"doc_id", "text", "mix_weight", "mix_probability"} <= set(out.columns)
+    assert out.count() > 0 and {"doc_id", "text", "mix_weight", "mix_probability", "mix_copy"} <= set(out.columns)
+    assert out.select("doc_id", "text").distinct().count() <= 82 and out.where("mix_copy < 1 or mix_copy > mix_copies").isEmpty()
+
+
+def test_ids_with_several_texts(spark):
+    """Rows are dropped by id and text: no text without a near duplicate is lost, and of each group one row stays."""
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(3, a), (5, b), (5, a), (6, c), (7, c + " tail"), (7, d), (7, d), (8, e), (8, e + " tail"), (9, e), (5, None), (None, a), (None, a), (10, ""), (10, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).withColumn("group", F.lit(1)).withColumn("text_hash", F.lit("x"))
+    out = C.one_of_each_group(spark, docs, "")
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert out.columns == docs.columns
+    kept_e = [r for r in got if r[0] == 8]
+    assert len(kept_e) == 1 and kept_e[0][1] in (e, e + " tail")
+    assert [r for r in got if r[0] != 8] == sorted([(3, a), (5, b), (6, c), (7, d), (5, None), (None, a), (None, a), (10, ""), (10, "")], key=str)
+
+
+def test_stages_on_very_long_texts(spark, sf):
+    d, docs = sf
+    long = " ".join(f"w{i}" for i in range(60_000))
+    at = spark.createDataFrame([(1, long, "en", "s", 1), (2, long + " end", "en", "s", 1), (3, long[::-1] + " " + docs[-4][1], "en", "s", 1)], DOCS)
+    assert [r.doc_id for r in C.one_of_each_group(spark, at, d).orderBy("doc_id").collect()] == [1, 3]
+    assert sorted(r.doc_id for r in C.decontaminated(spark, at, d).collect()) == [1, 2] and C.keep_quality(spark, at, d).count() <= 3
+
+
+def test_key_of_pseudonyms(spark):
+    assert C.pseudonym_key(spark) != C.pseudonym_key(spark) and len(C.pseudonym_key(spark)) == 32
+    spark.conf.set(C.KEY_SETTING, "00ff")
+    try:
+        assert C.pseudonym_key(spark) == b"\x00\xff"
+    finally:
+        spark.conf.unset(C.KEY_SETTING)
 
 
 def test_run_on_empty_tables(spark, tmp_path):
