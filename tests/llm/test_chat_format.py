@@ -1,4 +1,6 @@
 import hashlib
+import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -65,14 +67,52 @@ def test_fold(spark):
 def test_render_and_parse(spark):
     rows = [(c, i, ("user", "assistant", "we<|im_sep|>ird\n")[i % 3], HARD[(c + i) % len(HARD)]) for c in range(6) for i in range(5)]
     rendered = C.render(spark.createDataFrame(rows, "conv_id long, msg long, role string, text string"))
-    for r in rendered.withColumn("turns", C.parse(F.col("formatted"))).collect():
+    turns = C.under_loss(C.parse(rendered), rendered).withColumn("text", C.unescape(F.col("raw"))).orderBy("conv_id", "place").collect()
+    assert [(t.conv_id, t.place, t.role, t.text, t.lost) for t in turns] == [(*x, x[2] == "assistant") for x in rows]
+    for r in rendered.collect():
         mine = [x for x in rows if x[0] == r.conv_id]
-        assert [t.role for t in r.turns] == [x[2] for x in mine]
         loss = [r.formatted[s.start : s.start + s.length] for s in r["mask"]]
         plain = spark.createDataFrame([(x,) for x in loss], "x string").select(C.unescape(F.col("x"))).collect()
         assert [p[0] for p in plain] == [x[3] for x in mine if x[2] == "assistant"]
 
 
+def test_ranges_of_messages_give_the_same(spark, monkeypatch):
+    """Resets and offsets reach over ranges of two messages as within one."""
+    monkeypatch.setattr(C, "CHUNK", 2)
+    test_fold(spark)
+    test_render_and_parse(spark)
+    rng = random.Random(4)
+    cases = {}
+    for c in range(12):
+        live, events = 0, []
+        for seq in range(40):
+            op = rng.choice(["new", "new", "delta", "delta", "edit", "regenerate"])
+            if op == "new" or not live:
+                live += 1
+                events.append((seq, "start", live, rng.choice(["user", "assistant"]), None))
+            else:
+                msg = live if op == "delta" else rng.randrange(max(1, live - 3), live + 1)
+                events.append((seq, op, msg, None, f"{c}.{seq} "))
+                live = live if op == "delta" else msg
+        cases[c] = events
+    got = C.fold(spark.createDataFrame([(c, *e) for c, events in cases.items() for e in events], EVENTS)).collect()
+    for c, events in cases.items():
+        assert sorted((r.msg, r.role, r.text) for r in got if r.conv_id == c) == fold_by_hand(events)
+
+
+def test_time_grows_with_the_length_of_a_conversation(spark, tmp_path):
+    took = {}
+    for n in (200, 4000, 16_000):
+        rows = spark.range(n).selectExpr("7L conv_id", "id turn", "if(id % 2 = 0, 'user', 'assistant') role", "repeat(concat('é <s> ', id, ' '), 20) text")
+        rows.write.parquet(str(tmp_path / f"{n}" / "conversations.parquet"))
+        start = time.perf_counter()
+        got = {r.conv_id: r for r in C.op2_chat_formatting(spark, str(tmp_path / f"{n}")).collect()}
+        took[n] = time.perf_counter() - start
+        said = [f"é <s> {i} " * 20 for i in range(n)]
+        assert got[7].n_turns == n and got[7].loss_sha256 == hashlib.sha256("".join(said[1::2]).encode()).hexdigest()
+    assert took[16_000] < 4 * took[4000] + 1, took
+
+
 def test_query(spark, tmp_path):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\\"), (1, 1, "assistant", "<|im_end|>\\"), (2, 5, None, None), (2, None, "user", "é"), (None, 0, "assistant", "x" * 100_000)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("msg", F.lit("clash")).write.parquet(str(tmp_path / "conversations.parquet"))
