@@ -1,19 +1,22 @@
 """Benchmark decontamination with DataFrame functions only.
 
 The windows of all benchmark items (10 consecutive words; an item of fewer is one
-window) are hashed to a set that every task holds as an IN list.  One scan over the
-whole texts makes the words of a document and keeps the positions whose word starts a
-window and whose window hash is in the set.  These few hits are verified on their words
-against the windows, so a hash collision never counts, and folded per document.
+window) are a set of 64-bit hashes that is broadcast.  One scan over the whole texts makes the
+words of a document, cuts them into blocks of BLOCK words (so a very long text is never put together as windows
+at once), and looks up the hash of every window; what is not in the set ends there, within
+the same stage.  The few hits are verified on their words against the windows, so a hash
+collision never counts, and folded per document.
 
-The benchmark is the only thing that is broadcast.  Its number of windows is counted
-first; beyond MAX_INLINE_WINDOWS the windows of the documents are hashed and joined by
-shuffle instead, with the same result.
+The benchmark is the only thing that is broadcast.  Its windows are counted first: one set holds
+MAX_HASHES at most, of more there are several sets, each with a scan of its own, so any number of
+windows has the same result.  Where windows begin with at most MAX_FIRSTS different words,
+positions of other words are left out before windows are put together.
 
 Edge cases: null or blank text has no words (n_words 0, not contaminated); null or
-blank items are no windows; rows are told apart by position, so repeated rows and
-repeated or null doc_ids are answered row by row; empty tables give empty results;
-columns other than doc_id, text, item_id are not looked at.
+blank items are no windows; an item whose id is null makes its words hits, but is neither
+listed nor counted; rows are told apart by position, so repeated rows and
+repeated or null doc_ids are answered row by row; items that share a window are all named;
+empty tables give empty results; columns other than doc_id, text, item_id are not looked at.
 """
 
 from __future__ import annotations
@@ -24,7 +27,10 @@ from pyspark.sql import functions as F
 from calyxa.llm.scratch import Scratch
 
 WINDOW = 10
-MAX_INLINE_WINDOWS = 200_000
+#: Hashes of one broadcast set, different first words that positions are told by, windows with their items that are broadcast for verification.
+MAX_HASHES, MAX_FIRSTS, MAX_VERIFIED = 4_000_000, 10_000, 50_000
+#: Words of a document whose windows are put together at a time.
+BLOCK = 2048
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What separates words once A-Z is lower-cased: ASCII other than digits and lower-case letters.
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,58 +56,38 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _gram_hash(gram: Column) -> Column:
-    return F.xxhash64(gram)
+def _windows(length: int, firsts: list[str] | None) -> Column:
+    """at, len, gram of the windows of a block(before, w) that begin with one of the first words, if these are given."""
+    last = F.least(F.lit(BLOCK), F.size("w") - length + 1)
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    if firsts is not None:
+        starts = F.filter(starts, lambda i: F.get("w", i - 1).isin(firsts))
+    gram = lambda i: F.array_join(F.slice("w", i, F.lit(length)), " ")
+    return F.transform(starts, lambda i: F.struct((F.col("before") + i).alias("at"), F.lit(length).alias("len"), gram(i).alias("gram")))
 
 
-def _starts(n: str, length: int) -> Column:
-    return F.when(F.col(n) >= length, F.sequence(F.lit(1), F.col(n) - length + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-
-
-def _gram_at(i: Column, length: int) -> Column:
-    return F.array_join(F.slice("w", i, F.lit(length)), " ")
+def _scan(texts: DataFrame, hashes: DataFrame, firsts: dict[int, list[str] | None], heads: bool) -> DataFrame:
+    """row, doc_id, n_words, at, len, gram of every window of texts(row, doc_id, w) whose hash is in the set.
 
-
-def _scan(docs: DataFrame, by_len: dict[int, tuple[list[str], list[int]]]) -> DataFrame:
-    """row, doc_id, n_words and hits: array of (at, len, gram) whose hash is in the inlined set."""
-    found = []
-    for length, (firsts, hashes) in sorted(by_len.items()):
-        # words hold neither quotes nor backslashes; the smallest long has no literal
-        in_first = ",".join(f"'{x}'" for x in firsts)
-        in_set = ",".join(f"{h}L" if h != -(2**63) else "(-9223372036854775807L - 1L)" for h in hashes)
-        gram = f"array_join(slice(w, i, {length}), ' ')"
-        starts = f"CASE WHEN n_words >= {length} THEN sequence(1, n_words - {length - 1}) ELSE cast(array() as array<int>) END"
-        expr = (
-            f"transform(filter({starts}, i -> get(w, i - 1) IN ({in_first}) AND xxhash64({gram}) IN ({in_set})), "
-            f"i -> named_struct('at', i, 'len', {length}, 'gram', {gram}))"
-        )
-        found.append(F.expr(expr))
-    base = docs.withColumn("n_words", F.size("w"))
-    hits = F.concat(*found) if found else F.array().cast("array<struct<at:int,len:int,gram:string>>")
-    return base.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words"), hits.alias("hits"))
-
-
-def _scan_by_shuffle(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """The same for a benchmark too large to inline: document windows meet it by hash."""
-    base = docs.withColumn("n_words", F.size("w"))
-    parts = [
-        base.select("row", F.explode(_starts("n_words", n)).alias("at"), "w").select(
-            "row", "at", F.lit(n).alias("len"), _gram_at(F.col("at"), n).alias("gram")
+    firsts: for each length of windows the words that one may begin with, or None for any.  With
+    heads, every text has one more row, at 0.
+    """
+    longest = max(firsts, default=1)
+    n = F.size("w")
+    cuts = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / BLOCK).cast("int"))
+    block = F.explode(F.transform(cuts, lambda k: F.struct((k * BLOCK).alias("before"), F.slice("w", k * BLOCK + 1, F.lit(BLOCK + longest - 1)).alias("w"))))
+    blocks = texts.select("row", "doc_id", n.cast("long").alias("n_words"), block.alias("b")).select("row", "doc_id", "n_words", "b.before", "b.w")
+    found = [
+        F.filter(
+            F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"))),
+            lambda _: F.lit(heads) & (F.col("before") == 0),
         )
-        for n in lengths
     ]
-    grams = parts[0]
-    for part in parts[1:]:
-        grams = grams.union(part)
-    known = windows.select("gram", "len").distinct()
-    hits = (
-        grams.join(known, ["gram", "len"], "left_semi")
-        .groupBy("row")
-        .agg(F.collect_list(F.struct("at", "len", "gram")).alias("hits"))
-    )
-    return base.select("row", "doc_id", F.col("n_words").cast("long").alias("n_words")).join(hits, "row", "left")
+    found += [_windows(length, some) for length, some in sorted(firsts.items())]
+    windows = blocks.select("row", "doc_id", "n_words", F.explode(F.concat(*found)).alias("h")).select("row", "doc_id", "n_words", "h.*")
+    hashed = windows.withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("gram")))
+    known = hashes.select(F.col("hash").alias("known"))
+    return hashed.join(F.broadcast(known), F.col("hash") == F.col("known"), "left").where("at = 0 or known is not null").drop("hash", "known")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
@@ -111,35 +97,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, windo
     verified occurrences in words, counted from 1.
     """
     windows = scratch.table(benchmark_windows(benchmark, window), "windows")
-    grams = windows.select("len", "gram").distinct()
-    n = grams.count()
+    hashes = scratch.table(windows.select(F.xxhash64("gram").alias("hash")).distinct(), "hashes")
+    n, firsts = hashes.count(), {}
+    # at most `window` rows
+    begins = F.substring_index("gram", " ", 1)
+    for r in windows.groupBy("len").agg(F.approx_count_distinct(begins).alias("n")).collect():
+        few = r["n"] <= MAX_FIRSTS
+        some = windows.where(F.col("len") == r["len"]).select(begins.alias("w")).distinct()
+        firsts[r["len"]] = sorted(x["w"] for x in some.collect()) if few else None
     texts = docs.select("row", "doc_id", words(F.col("text")).alias("w"))
-    if n <= MAX_INLINE_WINDOWS:
-        by_len: dict[int, tuple[list[str], list[int]]] = {}
-        rows = grams.groupBy("len").agg(
-            F.collect_set(F.substring_index("gram", " ", 1)).alias("firsts"),
-            F.collect_set(_gram_hash(F.col("gram"))).alias("hashes"),
-        )
-        for r in rows.collect():
-            by_len[r["len"]] = (sorted(r["firsts"]), sorted(r["hashes"]))
-        scanned = scratch.table(_scan(texts, by_len), "scanned")
-    else:
-        lengths = [r["len"] for r in grams.select("len").distinct().collect()]
-        scanned = scratch.table(_scan_by_shuffle(texts, windows, lengths), "scanned")
+    sets = max(1, -(-n // MAX_HASHES))
+    parts = []
+    for k in range(sets):
+        part = hashes.where(F.pmod("hash", F.lit(sets)) == k) if sets > 1 else hashes
+        parts.append(scratch.table(_scan(texts, part, firsts, heads=k == 0), f"scanned-{k}"))
+    scanned = parts[0]
+    for more in parts[1:]:
+        scanned = scanned.union(more)
     # windows with their items; verified by equality of the words, not of the hash
     known = windows.groupBy("len", "gram").agg(F.collect_set("item_id").alias("ids"))
     hit = (
-        scanned.where(F.size("hits") > 0)
-        .select("row", F.explode("hits").alias("h"))
-        .select("row", "h.at", "h.len", "h.gram")
-        .join(F.broadcast(known) if n <= MAX_INLINE_WINDOWS else known, ["len", "gram"])
+        scanned.where("at > 0")
+        .select("row", "at", "len", "gram")
+        .join(F.broadcast(known) if n <= MAX_VERIFIED else known, ["len", "gram"])
         .groupBy("row")
         .agg(
             F.collect_list(F.struct("at", "len")).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("items"),
         )
     )
-    return scanned.select("row", "doc_id", "n_words").join(hit, "row", "left").select(
+    return parts[0].where("at = 0").select("row", "doc_id", "n_words").join(hit, "row", "left").select(
         "row",
         "doc_id",
         "n_words",
@@ -191,7 +178,7 @@ windows AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
             FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs CROSS JOIN lens WHERE len(w) >= n)),
 hits AS (SELECT doc_id, i, windows.n, item_id FROM windows JOIN grams ON windows.gram = grams.gram AND windows.n = grams.n),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+named AS (SELECT doc_id, count(item_id) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
           FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,

@@ -39,10 +39,13 @@ def found(spark, docs, items):
     return sorted(((r[0], r[1], r[2], list(r[3])) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("inline", [True, False])
-def test_equals_brute_force(spark, monkeypatch, inline):
-    if not inline:
-        monkeypatch.setattr(D, "MAX_INLINE_WINDOWS", 0)
+@pytest.mark.parametrize("large", [False, True])
+def test_equals_brute_force(spark, monkeypatch, large):
+    if large:  # several sets, any first word, windows joined by shuffle, blocks shorter than a window
+        monkeypatch.setattr(D, "MAX_HASHES", 17)
+        monkeypatch.setattr(D, "MAX_FIRSTS", 0)
+        monkeypatch.setattr(D, "MAX_VERIFIED", 0)
+        monkeypatch.setattr(D, "BLOCK", 7)
     rng = random.Random(5)
     vocabulary = ["The", "of", "und", "é", "É", "it's", "x9"]
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -57,6 +60,18 @@ def test_empty_tables(spark):
     assert found(spark, [(1, "a b")], []) == [(1, 2, 0, [])]
 
 
+def test_items_without_an_id(spark):
+    assert found(spark, [(1, "a b c")], [(None, "b c"), (4, "c")]) == [(1, 3, 2, ["4"])]
+
+
+def test_no_shuffle_of_windows(spark):
+    """A large benchmark is looked up where texts are scanned: the plan has no exchange but the broadcast of hashes."""
+    texts = D.with_row(spark.range(3).selectExpr("id doc_id", "'a b c d' text")).select("row", "doc_id", D.words(F.col("text")).alias("w"))
+    hashes = spark.range(5_000_000).selectExpr("xxhash64(id) hash")
+    plan = D._scan(texts, hashes, {10: None, 3: None}, True)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_long_text_and_clashing_columns(spark):
     long = "word " * 200_000 + "one two three four five six seven eight nine ten"
     assert found(spark, [(1, long)], [(9, "one two three four five six seven eight nine ten")]) == [(1, 200_010, 10, ["9"])]
