@@ -1,19 +1,31 @@
 """Personal data replaced by pseudonyms of the same format.
 
-Found values are validated, ranked within all values of their format, and the rank is
-permuted by a keyed Feistel network (with cycle walking to stay within the format).
-The permutation is a bijection that depends on key and kind alone, so equal values get
-equal pseudonyms in all documents and spellings, and the holder of the key can undo it.
-
-Kinds: e-mail addresses (letters and digits of the local part, the domain stays), IPv4
-addresses, phone numbers (the country code stays), payment cards (Luhn and first digit 3 to 6; the
-first digit stays, the check digit is right again), IBANs (mod 97; likewise), US
-social security numbers and calendar dates from 1900 to 2099.  Numbers that do not
-validate are left alone, as is everything else.
-
-Edge cases: null text stays null with no values; texts without digits and @ are not
-searched; values that touch a letter or digit are not values; repeated rows are treated
-row by row; an empty table gives an empty result; other columns stay as they are.
+Found values are validated, brought to one canonical form (below), ranked within all values of
+their kind, and the rank is permuted by a keyed Feistel network (with cycle walking to stay within
+the kind).  The permutation is a bijection that depends on key and kind alone, and the new value is
+written in the old one's spelling.  So equal values get equal pseudonyms in all documents and in
+all spellings that have the same canonical form, and the holder of the key can undo it.
+
+Kinds and canonical forms:
+* e-mail addresses: the folded local part, letters of any script and digits each within its
+  alphabet; the domain stays;
+* IPv4 addresses: the number;
+* phone numbers: the national significant number, that is without country code and trunk zeros,
+  which both stay: "+1 415-555-0100", "(415) 555-0100" and "+14155550100" are linked;
+* payment cards (Luhn and first digit 2 to 6): the digits; the first digit stays, the check digit is right again;
+* IBANs (mod 97): the country stays, the check digits are right again;
+* US social security numbers: the number;
+* calendar dates from 1900 to 2099: the day; days to the 12th and later ones are permuted among
+  themselves, as a date written with slashes is read as month first where it can be.
+A date without leading zeros is written without them, so undoing it gives the value again and
+its spelling but for leading zeros.  What does not validate as any kind (an IBAN also
+without its last groups, which may be other words) is left alone, as is everything else.
+
+Edge cases: null text stays null with no values; texts without digits and @ are not searched; very
+long texts are searched whole; where several kinds match at one place, the first that
+validates in the order above is taken (phones before dates); values that touch a letter or digit are not
+values; repeated rows are treated row by row, and alike; an empty table gives an empty result;
+other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -22,6 +34,7 @@ import datetime
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -69,29 +82,53 @@ class Feistel:
                 return x
 
 
-_ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûüßœ", "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ")
-_PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+def _folded(c: str) -> str | None:
+    """The lower-case form of a letter that can be turned back to c; None if there is none."""
+    low = c.lower()
+    if len(low) == 1 and low != low.upper() and len(low.upper()) == 1 and low.upper().lower() == low and c in (low, low.upper()):
+        return low
+    return None
+
+
+@lru_cache(maxsize=4096)
+def _alphabet(c: str) -> tuple[str, str] | None:
+    """The kind of a folded letter or digit, and all characters of that kind in its block of 128; None for other signs."""
+    if c.isascii():
+        if c.isdigit():
+            return "0", "0123456789"
+        return ("a", "abcdefghijklmnopqrstuvwxyz") if c.isalpha() else None
+
+    def kind(x: str) -> str | None:
+        return "0" if x.isdecimal() else None if not x.isalpha() else "a" if _folded(x) == x else "x" if _folded(x) is None else None
+
+    first, own = ord(c) & ~127, kind(c)
+    if own is None:
+        return None
+    return f"{own}{first:x}", "".join(x for x in map(chr, range(first, first + 128)) if kind(x) == own)
 
 
 def _letters(f: Feistel, kind: str, text: str, undo: bool) -> str:
-    """Every letter and digit permuted within its alphabet, all of them as one number."""
+    """Every letter and digit permuted within its alphabet, all of them as one number; upper case stays upper case."""
     n, x = 1, 0
-    shape = []
+    shape, places = [], []
     for c in text:
-        if c in _PLACE:
-            a, i = _PLACE[c]
-            n, x = n * len(a), x * len(a) + i
-            shape.append(str(_ALPHABETS.index(a)))
-        else:
+        low = _folded(c) or c
+        found = _alphabet(low)
+        if found is None:
             shape.append(c)
-    x = f.permute(f"{kind}|{''.join(shape)}", n, x, undo)
-    out = []
-    for c in reversed(text):
-        if c in _PLACE:
-            x, i = divmod(x, len(_PLACE[c][0]))
-            out.append(_PLACE[c][0][i])
+            places.append(None)
         else:
+            n, x = n * len(found[1]), x * len(found[1]) + found[1].index(low)
+            shape.append(found[0])
+            places.append(found[1])
+    x = f.permute(f"{kind}|{'|'.join(shape)}", n, x, undo)
+    out = []
+    for c, alphabet in zip(reversed(text), reversed(places), strict=True):
+        if alphabet is None:
             out.append(c)
+        else:
+            x, i = divmod(x, len(alphabet))
+            out.append(alphabet[i] if _folded(c) in (c, None) else alphabet[i].upper())
     return "".join(reversed(out))
 
 
@@ -123,19 +160,35 @@ def _ipv4(f: Feistel, v: str, undo: bool) -> str | None:
     return ".".join(map(str, x.to_bytes(4, "big")))
 
 
+#: Country calling codes of one and two digits; all others have three (fixed values of ITU-T E.164).
+_ONE_DIGIT = ("1", "7")
+_TWO_DIGITS = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56",
+    "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
+
+def _country_code(digits: str) -> str:
+    return digits[: 1 if digits[:1] in _ONE_DIGIT else 2 if digits[:2] in _TWO_DIGITS else 3]
+
+
 def _phone(f: Feistel, v: str, undo: bool) -> str | None:
-    head = re.match(r"\+\d{1,3}(?=[ .\-(])", v)
-    code = head[0] if head else ""
-    rest = v[len(code) :]
+    head = "+" + _country_code(re.sub(r"\D", "", v)) if v[0] == "+" else ""
+    if not v.startswith(head):  # digits of the code are apart
+        return None
+    rest = v[len(head) :]
     digits = re.sub(r"\D", "", rest)
-    if not 7 <= len(digits) <= 12:
+    number = digits.lstrip("0")
+    if not 7 <= len(digits) <= 12 or len(number) < 6:
         return None
-    return code + _refilled(rest, _digits(f, f"phone|{code}", digits, undo))
+    least = 10 ** (len(number) - 1)
+    new = str(least + f.permute("phone", 9 * least, int(number) - least, undo))
+    return head + _refilled(rest, "0" * (len(digits) - len(number)) + new)
 
 
 def _card(f: Feistel, v: str, undo: bool) -> str | None:
     digits = re.sub(r"\D", "", v)
-    if not 13 <= len(digits) <= 19 or digits[0] not in "3456" or luhn(digits):
+    if not 13 <= len(digits) <= 19 or digits[0] not in "23456" or luhn(digits):
         return None
     body = digits[0] + _digits(f, f"card|{digits[0]}", digits[1:-1], undo)
     return _refilled(v, body + str(-luhn(body + "0") % 10))
@@ -148,8 +201,10 @@ def _iban_number(s: str) -> int:
 def _iban(f: Feistel, v: str, undo: bool) -> str | None:
     s = v.replace(" ", "")
     if not 15 <= len(s) <= 34 or _iban_number(s) % 97 != 1:
-        return None
-    body = _letters(f, f"iban|{s[:2]}", s[4:], undo)
+        shorter = v.rpartition(" ")[0]
+        new = _iban(f, shorter, undo) if len(shorter) > 14 else None
+        return None if new is None else new + v[len(shorter) :]
+    body = _letters(f, f"iban|{s[:2]}", s[4:].lower(), undo).upper()
     s = f"{s[:2]}{98 - _iban_number(s[:2] + '00' + body) % 97:02d}{body}"
     it = iter(s)
     return "".join(c if c == " " else next(it) for c in v)
@@ -166,7 +221,13 @@ def _ssn(f: Feistel, v: str, undo: bool) -> str | None:
     return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
-_FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
+@lru_cache(maxsize=1)
+def _days() -> list[tuple[list[datetime.date], dict[datetime.date, int]]]:
+    """All days up to the 12th of a month, all later ones; each with their places."""
+    first, last = datetime.date(1900, 1, 1), datetime.date(2099, 12, 31)
+    every = [first + datetime.timedelta(i) for i in range((last - first).days + 1)]
+    some = [[d for d in every if (d.day > 12) == late] for late in (False, True)]
+    return [(days, {d: i for i, d in enumerate(days)}) for days in some]
 
 
 def _date(f: Feistel, v: str, undo: bool) -> str | None:
@@ -189,13 +250,10 @@ def _date(f: Feistel, v: str, undo: bool) -> str | None:
         form, date = "dmy", of(c, b, a)
     if date is None:
         return None
-    x = (date - _FIRST).days
-    while True:  # a day-first date behind a slash has a day that is no month
-        x = f.permute("date", _DAYS, x, undo)
-        new = _FIRST + datetime.timedelta(x)
-        if form != "dmy" or sep != "/" or new.day > 12:
-            break
-    parts = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    days, places = _days()[date.day > 12]
+    new = days[f.permute(f"date|{date.day > 12}", len(days), places[date], undo)]
+    wide = 2 if all(len(x) != 1 for x in (a, b, c)) else 1
+    parts = {"y": f"{new.year:04d}", "m": f"{new.month:0{wide}d}", "d": f"{new.day:0{wide}d}"}
     return sep.join(parts[k] for k in form)
 
 
@@ -203,12 +261,13 @@ _KINDS = {
     "email": (r"(?<![\w.%+\-])[\w%+\-](?:[\w.%+\-]*[\w%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}(?![\w@])", _email),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)", _iban),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ipv4),
-    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\w)|(?<![\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])", _phone),
-    "date": (r"(?<![\w./\-])(?:(?:19|20)\d\d(?P<s>[-/.])(?:0[1-9]|1[0-2])(?P=s)(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])(?P<t>[-/.])(?:0[1-9]|[12]\d|3[01])(?P=t)(?:19|20)\d\d)(?!\w|[-/.]\d)", _date),
+    "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .\-]\d{2,4}){2,5}(?!\w)|(?<![\w+])\+[1-9]\d{8,14}(?!\w)|(?<![\w+.\-])\d{3}(?P<p>[ .\-])\d{3}(?P=p)\d{4}(?![\w\-])|(?<![\w+.\-])0[1-9]\d{1,3}(?P<q>[ .\-])\d{3,4}(?P=q)\d{3,4}(?![\w\-])", _phone),
+    "date": (r"(?<![\w./\-])(?:(?:19|20)\d\d(?P<s>[-/.])(?:0?[1-9]|1[0-2])(?P=s)(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])(?P<t>[-/.])(?:0?[1-9]|[12]\d|3[01])(?P=t)(?:19|20)\d\d)(?!\w|[-/.]\d)", _date),
     "ssn": (r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn),
     "card": (r"(?<![\w\-])(?:\d{13,19}|\d{4}(?P<u>[ \-])\d{4}(?P=u)\d{4}(?P=u)\d{1,7}|\d{4}(?P<x>[ \-])\d{6}(?P=x)\d{5})(?!\w)", _card),
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in _KINDS.items()))
+_ANY = re.compile("|".join(p for p, _ in _KINDS.values()))
+_EACH = {k: (re.compile(p), f) for k, (p, f) in _KINDS.items()}
 _HINT = re.compile(r"[0-9@]")
 
 
@@ -219,18 +278,20 @@ class Pseudonyms:
     def replace(self, text: str, undo: bool = False) -> tuple[str, list[str]]:
         """The text with pseudonyms and the kinds replaced, in order; undo turns pseudonyms back."""
         kinds: list[str] = []
-
-        def one(m: re.Match) -> str:
-            kind = next(k for k in _KINDS if m[k] is not None)
-            new = _KINDS[kind][1](self.feistel, m[0], undo)
-            if new is None:
-                return m[0]
-            kinds.append(kind)
-            return new
-
         if not _HINT.search(text):
             return text, kinds
-        return _ANY.sub(one, text), kinds
+        out, done, at = [], 0, 0
+        while m := _ANY.search(text, at):
+            at = m.start() + 1
+            for kind, (pattern, new_of) in _EACH.items():
+                mine = pattern.match(text, m.start())
+                new = new_of(self.feistel, mine[0], undo) if mine else None
+                if new is not None:
+                    kinds.append(kind)
+                    out += [text[done : m.start()], new]
+                    done = at = mine.end()
+                    break
+        return "".join([*out, text[done:]]), kinds
 
 
 def pseudonymise(docs: DataFrame, key: bytes, kinds: str | None = None) -> DataFrame:
