@@ -7,8 +7,13 @@
    cosine in double precision.  Where more nodes than a window holds agree on the first
    bits of their keys (a crowd), all of them are compared, block against block in cells of
    RUN_CELL nodes, so every pair that agrees on those bits meets, however dense its
-   neighbourhood is.  The number of bits and of passes follows from the number of nodes, so
-   that a pair at the threshold is missed by all passes with a probability of MISS.
+   neighbourhood is.  A pair at the threshold is missed by all passes with a probability of MISS:
+   that gives the number of passes for each number of bits.  How many nodes agree on so many
+   bits is measured on a sample of SAMPLE nodes, with hashes of the vectors as they are and of
+   vectors less the sample's mean (which tells vectors apart that all point one way, but a pair at the
+   threshold agrees on fewer of these bits), and the bits with the fewest comparisons are taken.
+   The sample decides what is fast, and of centred hashes the distance from the mean beyond which
+   MISS holds (that of 99 of 100 sampled nodes).
    A block of the order or a cell returns a spanning forest of its links, never all of them.
 3. The links of all passes are united to components.
 4. The window bounds partners, so components are completed exactly: their members are
@@ -16,14 +21,16 @@
    leave a cell.  A hot group is dealt to many cells.
 
 Edge cases: rows with a null vec_id link with nothing (component null, kept); vectors of
-different lengths never link; repeated rows count as vectors of their own; an empty table
-gives an empty result; labels and other columns are ignored.
+different lengths never link; very long vectors are one row; repeated rows, and rows of one vec_id,
+count as vectors of their own; of nodes with equal keys (ties) those of smaller hash come first; an empty table gives an
+empty result; labels and other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,21 +48,42 @@ BITS = 63
 BLOCK, CELL, AT_ONCE = 512, 512, 6
 #: Nodes of each side of a cell of a crowd.
 RUN_CELL = 1024
+#: Nodes that the plan is made from, and numbers of them at most.
+SAMPLE, SAMPLE_NUMBERS = 1000, 4_000_000
 
 
-def depth_for(n: int, window: int = WINDOW) -> int:
-    """First bits of a key on which about a quarter to a half of a window of n evenly spread vectors agree."""
-    return min(BITS, math.ceil(math.log2(max(2.0, n / window))) + 1)
+def passes_for(agree: float, depth: int, miss: float = MISS) -> int:
+    """Passes after which a pair whose bits agree with probability `agree` has never agreed on the first `depth` with probability `miss`."""
+    p = max(agree**depth, 1e-12)  # rarer ones are never the cheapest
+    return 1 if p >= 1 else max(1, math.ceil(math.log(miss) / math.log1p(-p)))
 
 
-def passes_for(n: int, threshold: float, window: int = WINDOW, miss: float = MISS) -> int:
-    """Passes after which a pair at the threshold is missed with probability `miss`.
+@dataclass(frozen=True)
+class Plan:
+    """Bits of a crowd, number of passes, and by length the point that hashes are taken around."""
 
-    Two vectors meet in a pass if they agree on the first depth_for(n) bits: in a window, or in a cell of their run.
-    """
-    agree = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-    p = agree ** depth_for(n, window)
-    return max(4, math.ceil(math.log(miss) / math.log(1 - p)))
+    depth: int
+    passes: int
+    centre: dict[int, np.ndarray]
+
+
+def plan_for(n: int, threshold: float, sample: np.ndarray, window: int = WINDOW) -> Plan:
+    """The plan with the fewest comparisons for n unit vectors, judged by a sample of them."""
+    least = None
+    for centre in (None, sample.mean(axis=0)):
+        x = sample if centre is None else sample - centre
+        radius = np.sqrt((x * x).sum(axis=1))
+        near = max(1e-9, float(np.quantile(radius, 0.01)))
+        agree = 1 - math.acos(max(-1.0, 1 - (1 - threshold) / near**2)) / math.pi
+        cosine = np.clip((x @ x.T) / np.maximum(np.outer(radius, radius), 1e-18), -1, 1)
+        others = 1 - np.arccos(cosine[np.triu_indices(len(x), 1)]) / math.pi
+        for depth in range(41):
+            passes = passes_for(agree, depth)
+            together = float((others**depth).mean()) if len(others) else 1.0
+            cost = passes * (window + n * together)
+            if least is None or cost < least[0]:
+                least = cost, Plan(depth, passes, {} if centre is None else {len(centre): centre})
+    return least[1]
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -82,7 +110,15 @@ def _packed(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _keys(nodes: DataFrame, first: int, last: int, seed: int) -> DataFrame:
+def _sampled(nodes: DataFrame) -> np.ndarray:
+    """Unit vectors of some nodes, those of the commonest length; nodes are named by hashes, so the first ones are any."""
+    lengths = nodes.groupBy(F.length("v").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    size = lengths.orderBy(F.desc("n"), "size").first()["size"]
+    rows = max(2, min(SAMPLE, SAMPLE_NUMBERS * 8 // size))
+    return _unit([bytes(r["v"]) for r in nodes.where(F.length("v") == size).orderBy("node").limit(rows).collect()])
+
+
+def _keys(nodes: DataFrame, first: int, last: int, seed: int, centre: dict[int, np.ndarray]) -> DataFrame:
     """(node, v) -> (pass, key, node) for passes first to last - 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +136,7 @@ def _keys(nodes: DataFrame, first: int, last: int, seed: int) -> DataFrame:
                     planes[dim] = np.concatenate(
                         [np.random.default_rng([seed, k, dim]).standard_normal((dim, BITS)) for k in range(first, last)], axis=1
                     )
-                signs = (_unit([raw[i] for i in at]) @ planes[dim] > 0).reshape(len(at), last - first, BITS)
+                signs = (_unit([raw[i] for i in at]) @ planes[dim] > centre.get(dim, np.zeros(dim)) @ planes[dim]).reshape(len(at), last - first, BITS)
                 keys = (signs * weights).sum(axis=2)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -232,10 +268,10 @@ def _crowd_links(ranked: DataFrame, nodes: DataFrame, depth: int, threshold: flo
     )
 
 
-def _pass_links(nodes: DataFrame, first: int, last: int, depth: int, threshold: float, scratch: Scratch, seed: int) -> DataFrame:
+def _pass_links(nodes: DataFrame, first: int, last: int, plan: Plan, threshold: float, scratch: Scratch, seed: int) -> DataFrame:
     spark = scratch.spark
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = _keys(nodes, first, last, seed)
+    keyed = _keys(nodes, first, last, seed, plan.centre)
     ordered = keyed.repartitionByRange(parts, "pass", "key", "node").sortWithinPartitions("pass", "key", "node")
     placed = scratch.table(_numbered(ordered), f"order-{first}")
     # one count per partition of the order: bounded by the number of partitions
@@ -255,7 +291,7 @@ def _pass_links(nodes: DataFrame, first: int, last: int, depth: int, threshold:
         .groupBy("block")
         .applyInArrow(_window_links(threshold, WINDOW, BLOCK), "a long, b long")
     )
-    crowded = _crowd_links(ranked, nodes, depth, threshold, scratch, f"crowds-{first}")
+    crowded = _crowd_links(ranked, nodes, plan.depth, threshold, scratch, f"crowds-{first}")
     return (links if crowded is None else links.union(crowded)).distinct()
 
 
@@ -295,9 +331,10 @@ def embedding_links(vectors: DataFrame, threshold: float, scratch: Scratch, seed
         "nodes",
     )
     n = nodes.count()
-    total, found = passes_for(n, threshold) if n > 1 else 0, []
+    plan, found = plan_for(n, threshold, _sampled(nodes)) if n > 1 else Plan(0, 0, {}), []
+    total = plan.passes
     for first in range(0, total, AT_ONCE):
-        links = _pass_links(nodes, first, min(total, first + AT_ONCE), depth_for(n), threshold, scratch, seed)
+        links = _pass_links(nodes, first, min(total, first + AT_ONCE), plan, threshold, scratch, seed)
         found.append(scratch.table(links, f"links-{first}"))
         scratch.drop(f"order-{first}", f"crowds-{first}")
     links = found[0] if found else nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).where("a != b")

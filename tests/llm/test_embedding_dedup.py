@@ -91,8 +91,40 @@ def test_edges(spark):
     assert found(spark, []) == [] and found(spark, [(1, v, 0)]) == [(1, 0, 1)]
 
 
-def test_passes_grow_with_the_number_of_nodes():
-    assert E.passes_for(10_000, 0.95) < E.passes_for(10**6, 0.95) < E.passes_for(10**9, 0.95) < 200
+def _unit(rng, *shape):
+    x = rng.standard_normal(shape)
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def planted(n, pairs, offset, dims=64, seed=11):
+    """n vectors around a common mean `offset` times as long as their spread, the last ones at cosine 0.951 to the first."""
+    rng = np.random.default_rng(seed)
+    x = offset * _unit(rng, dims) + _unit(rng, n - pairs, dims)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = _unit(rng, pairs, dims)
+    away -= (away * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    return np.concatenate([x, 0.951 * x[:pairs] + np.sqrt(1 - 0.951**2) * away])
+
+
+@pytest.mark.parametrize("offset", [0.0, 2.0])
+def test_recall_of_links_at_the_threshold(spark, offset):
+    x = planted(8000, 300, offset)
+    links = sum(int((x[i : i + 1000] @ x.T >= 0.95).sum()) for i in range(0, len(x), 1000)) - len(x)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = sum(r.n_links for r in E.embedding_links(df, 0.95, Scratch(spark, "e")).collect())
+    assert links >= 600 and 0.99 * links <= found <= links, (found, links)
+
+
+def test_plans():
+    """Passes grow slowly with the number of vectors; few are all compared; vectors that point one way are centred."""
+    plain, offset = planted(1000, 2, 0.0), planted(1000, 2, 2.0)
+    sizes = [E.plan_for(n, 0.95, plain) for n in (10**4, 10**6, 10**9)]
+    assert 4 < sizes[0].passes < sizes[1].passes < sizes[2].passes < 200 and sizes[0].depth < sizes[1].depth and not sizes[1].centre
+    assert E.plan_for(100, 0.95, plain[:100]).passes == 1 and E.passes_for(0.9, 0) == 1
+    assert list(E.plan_for(10**6, 0.95, offset).centre) == [64]
+    same = E.plan_for(5000, 0.95, np.repeat(plain[:1], 1000, axis=0) + 1e-3 * plain[:1000])
+    assert same.passes == 1 and same.depth == 0
 
 
 @pytest.mark.parametrize("n", [3])
