@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -11,9 +12,9 @@ from pyspark.sql import DataFrame
 
 from calyxa.adaptive.policies import Heuristic, Policy
 
-#: Heuristics when nothing is known: filter by slices above 0.8 selectivity; numbers before needles; one global sort.
+#: Heuristics when nothing is known: filters in the plan, where they are pushed down; numbers before needles; one global sort.
 DEFAULT_RULES: dict[str, Callable[[Sequence[float]], int]] = {
-    "filter": lambda f: 0 if f and f[0] > 0.8 else 1,
+    "filter": lambda f: 0,
     "plan": lambda f: 1,
     "sort": lambda f: 0,
 }
@@ -26,6 +27,25 @@ def timed(df: DataFrame) -> float:
     return time.perf_counter() - start
 
 
+def cpu_timed(df: DataFrame) -> float:
+    """Seconds of executor CPU to compute a DataFrame in full, its rows thrown away."""
+    sc, group = df.sparkSession.sparkContext, f"calyxa-{uuid.uuid4().hex}"
+    sc.setJobGroup(group, "measured")
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    scala = sc._jsc.sc()
+    scala.listenerBus().waitUntilEmpty(30_000)
+    tracker, store = sc.statusTracker(), scala.statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(s).executorCpuTime() for s in stages) / 1e9
+
+
+#: What a strategy costs, by the name of the metric.
+METRICS: dict[str, Callable[[DataFrame], float]] = {"time": timed, "cpu": cpu_timed}
+
+
 @dataclass
 class Decision:
     operation: str
@@ -41,6 +61,8 @@ class StrategyManager:
     learning: bool = False
     measure: Callable[[DataFrame], float] = timed
     log: list[tuple[str, int]] = field(default_factory=list)
+    #: Shares of rows that features are taken from: of filters, of texts, of sorts.
+    samples: dict[str, float] = field(default_factory=lambda: {"filter": 0.01, "plan": 0.2, "sort": 0.01})
 
     def __post_init__(self) -> None:
         self._lock = threading.Lock()

@@ -7,10 +7,11 @@ cost above the row's cheapest.  A split is kept only if its two sides prefer dif
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,6 +22,12 @@ def best_single(costs: np.ndarray) -> tuple[int, float]:
     return best, float(regret[best])
 
 
+def total_regrets(df: DataFrame, costs: Sequence[Column]) -> DataFrame:
+    """regret0, regret1 ...: the total regret of always choosing one strategy."""
+    least = F.least(*costs)
+    return df.agg(*[F.sum(c - least).alias(f"regret{i}") for i, c in enumerate(costs)])
+
+
 @dataclass(frozen=True)
 class Leaf:
     policy: int

@@ -41,6 +41,37 @@ def sort_strategies(df: DataFrame, order: list[Column], inversions: float, uniqu
     return Decision("sort", (inversions, unique), [lambda: df.orderBy(*order), ranged])
 
 
+def sorted_by(df: DataFrame, order: list[Column], key: str, pos: str, manager, most: int = 10_000) -> DataFrame:
+    """The sort by the strategy that the manager chooses, from the order of at most `most` sampled rows."""
+    some = df.sample(fraction=manager.samples["sort"], seed=1).select(pos, key).where(F.col(key).isNotNull()).limit(most).toArrow().sort_by(pos)
+    values = np.array(some[key])
+    n = len(values)
+    inversions = 2 * count_inversions(values) / (n * (n - 1)) if n > 1 else 0.0
+    return manager.run(sort_strategies(df, order, inversions, len(np.unique(values)) / max(1, n)))
+
+
+def chunk_count(rows: int, size: int) -> int:
+    """One chunk for fewer than two full ones, else as many as hold `size` rows each."""
+    return 1 if rows < 2 * size else -(-rows // size)
+
+
+def chunked(df: DataFrame, pos: str, rows: int, size: int) -> DataFrame:
+    """df with `chunk`, numbers of runs of `size` rows by position, one partition or more of its own each."""
+    numbered = df.withColumn("chunk", F.lit(0).cast("long") if chunk_count(rows, size) == 1 else F.floor(F.col(pos) / size).cast("long"))
+    return numbered.repartitionByRange(chunk_count(rows, size), "chunk")
+
+
+def filter_features(df: DataFrame, condition: Column, size: Column) -> DataFrame:
+    """num_rows, selectivity, bytes of a filter's input; size: the bytes of a row."""
+    hit = F.when(condition, 1.0).otherwise(0.0)
+    return df.agg(F.count(F.lit(1)).alias("num_rows"), F.avg(hit).alias("selectivity"), F.sum(size).cast("long").alias("bytes"))
+
+
+def sample_hits(a: DataFrame, b: DataFrame, idx: str = "idx", first: int = 10) -> DataFrame:
+    """hits: how many of the first positions of a are in b."""
+    return a.orderBy(idx).limit(first).join(b, idx, "left_semi").agg(F.count(F.lit(1)).alias("hits"))
+
+
 def chunk_selectivity(df: DataFrame, pos: str, condition: Column, size: int) -> DataFrame:
     """chunk, num_rows, selectivity of every `size` rows by position."""
     hit = F.when(condition, 1.0).otherwise(0.0)

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calyxa.adaptive import strategies
+from calyxa.adaptive import policies, regret_tree, strategies
+from calyxa.adaptive.intersect import STRATEGIES, Intersector
+from calyxa.adaptive.manager import DEFAULT_RULES, StrategyManager
 from calyxa.functions import scalar
 from calyxa.operators import aggregates, joins, selection, tables
-from calyxa.operators.aggregates import Agg
+from calyxa.operators.aggregates import Agg, UserAgg
 from calyxa.plans import predicates as P
 from calyxa.plans import query as Q
+from calyxa.runner import run_query
+from calyxa.sources import parquet as sources
 from calyxa.sources.parquet import POS, load, load_with_position
+from calyxa.sources.scratch import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -125,8 +132,9 @@ def string_like(s, d):
 
 @registered
 def sort_null_as_zero(s, d):
-    df = _sized(s, d, gone=50)
-    return df.orderBy(F.coalesce("s", F.lit(0)), "p_partkey").limit(80)
+    sized = _p(s, d, "part").select("p_partkey", scalar.null_if(F.col("p_size"), F.col("p_size") == 50).alias("s"), POS)
+    query = Q.Query("q", (Q.LoadParquet("part.parquet"), Q.SortBy("s"), Q.FilterTop(80)))
+    return Q.compile_query(s, d, query, loader=lambda path, positions, first: sized)
 
 
 @registered
@@ -359,28 +367,291 @@ def inversions_unique(s, d):
     return strategies.order_features(sample, POS, "o_custkey")
 
 
+def _costs() -> list:
+    return [F.col("l_partkey"), F.col("l_suppkey") * 20, F.floor(F.col("l_orderkey") / 7)]
+
+
 @registered
 def regret_best_single(s, d):
-    costs = [F.col("l_partkey"), F.col("l_suppkey") * 20, F.floor(F.col("l_orderkey") / 7)]
-    least = F.least(*costs)
-    return _t(s, d, "lineitem").agg(*[F.sum(c - least).cast("long").alias(f"regret{i}") for i, c in enumerate(costs)])
+    df = regret_tree.total_regrets(_t(s, d, "lineitem"), _costs())
+    return df.select(*[F.col(c).cast("long").alias(c) for c in df.columns])
 
 
 @registered
 def rbf_weighted_means(s, d):
-    away = F.col("l_discount") - 0.05
-    df = _t(s, d, "lineitem").select(F.exp(-(away * away) / 0.01).alias("w"), "l_partkey", "l_suppkey")
-    w = F.col("w")
-    return df.agg(
-        F.round(F.sum(w * F.col("l_partkey")) / F.sum(w), 6).alias("mean0"),
-        F.round(F.sum(w * F.col("l_suppkey")) / F.sum(w), 6).alias("mean1"),
-        F.round(F.sum(w) * F.sum(w) / F.sum(w * w), 4).alias("neff"),
-    )
+    df = policies.weighted_means(_t(s, d, "lineitem"), [F.col("l_discount")], [0.05], 0.1, [F.col("l_partkey"), F.col("l_suppkey")])
+    return df.select(F.round("mean0", 6).alias("mean0"), F.round("mean1", 6).alias("mean1"), F.round("neff", 4).alias("neff"))
+
+
+def _arms(s: SparkSession, d: str) -> DataFrame:
+    return _t(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_partkey").alias("mean"))
 
 
 @registered
 def ucb_lcb(s, d):
-    arms = _t(s, d, "lineitem").groupBy(F.col("l_linenumber").alias("arm")).agg(F.count(F.lit(1)).alias("n"), F.avg("l_partkey").alias("mean"))
-    total = arms.agg(F.sum("n").alias("t"))
-    bound = F.col("mean") - F.sqrt(2.0 * F.log(F.col("t")) / F.col("n"))
-    return arms.join(F.broadcast(total)).select("arm", "n", F.round(bound, 6).alias("lcb"))
+    return policies.lower_bounds(_arms(s, d)).withColumn("lcb", F.round("lcb", 6))
+
+
+@registered
+def ucb_choice(s, d):
+    arms = _arms(s, d).orderBy("arm").collect()
+    p = policies.LowerBound(len(arms))
+    for i, r in enumerate(arms):
+        p.n[i], p.total[i] = r["n"], r["n"] * r["mean"]
+    return s.createDataFrame([(int(arms[p.choose(())]["arm"]),)], "arm int")
+
+
+def _measured(s: SparkSession, d: str) -> list:
+    """Size, and two costs, of the first parts."""
+    df = _where(_t(s, d, "part"), P.LessThan("p_partkey", 150)).select("p_partkey", F.col("p_size") / 50, F.col("p_size") * 1.0, 60.0 - F.col("p_size"))
+    return [tuple(r)[1:] for r in df.orderBy("p_partkey").collect()]
+
+
+@registered
+def kernel_policy_choices(s, d):
+    policy = policies.KernelPolicy(2, alpha=0.5, bandwidth=0.1, n_min=1)
+    for x, *costs in _measured(s, d):
+        policy.learn_all((x,), costs)
+    return s.createDataFrame([(i, policy.choose((i / 10,))) for i in range(11)], "tenth int, choice int")
+
+
+def _tree(s: SparkSession, d: str) -> regret_tree.Tree:
+    """Which of two costs is less changes between the sizes 30 and 31."""
+    rows = [(x, a, b) for x, a, b in _measured(s, d) if a != b]
+    return regret_tree.fit(np.array([r[:1] for r in rows]), np.array([r[1:] for r in rows]), 3, midpoint=False)
+
+
+@registered
+def regret_tree_choices(s, d):
+    choice = regret_tree.to_column(_tree(s, d), [F.col("p_size") / 50])
+    return _t(s, d, "part").select("p_partkey", choice.cast("int").alias("choice"))
+
+
+@registered
+def simple_policy_choices(s, d):
+    rule, single = policies.Heuristic(DEFAULT_RULES["plan"]), policies.Single(0, 2)
+    replay = policies.Replay.parse("0 1\n1 0\n0 0\n0 1\n", "filter")
+    return s.createDataFrame([(i, rule.choose((0.5, 0.5)), single.choose(()), replay.choose(())) for i in range(3)], "i int, rule int, single int, replay int")
+
+
+# pipeline operations, sources and runs that have no query above
+
+_dsl("pipeline_not_null", "orders", Q.NotNull("o_custkey"), Q.LessThan("o_custkey", 50), columns=_OC)
+_dsl("pipeline_is_null", "orders", Q.IsNull("o_custkey"), columns=_OC)
+
+
+@registered
+def filter_all(s, d):
+    return _where(_t(s, d, "region"), P.All()).select("r_regionkey")
+
+
+@registered
+def filter_hints(s, d):
+    p = P.Hint("bitmap", P.LessThan("l_suppkey", 20)) & P.Hint("vector", P.GreaterThan("l_linenumber", 5))
+    return _where(_t(s, d, "lineitem"), p).select(*_LL)
+
+
+@registered
+def filter_wide_literal(s, d):
+    p = P.LessThan("l_linenumber", 5_000_000_000) & P.GreaterThan("l_linenumber", 5.5)
+    return _where(_t(s, d, "lineitem"), p).select(*_LL)
+
+
+@registered
+def predicate_depth(s, d):
+    p = P.Hint("vector", P.Not(P.LessThan("a", 1) & (P.IsNull("b") | P.NotNull("c"))))
+    return s.createDataFrame([(p.max_depth(),)], "depth int")
+
+
+@registered
+def join_default_keys(s, d):
+    probe = _t(s, d, "orders").select("o_custkey", "o_orderkey")
+    return joins.hash_join(_t(s, d, "customer").select("c_custkey", "c_name"), probe, [0])
+
+
+@registered
+def agg_user_defined(s, d):
+    spread = UserAgg(
+        "spread",
+        ("l_partkey",),
+        {"n": lambda x: F.count(x), "s": lambda x: F.sum(x.cast("double")), "q": lambda x: F.sum(x.cast("double") * x)},
+        lambda st: F.round(st["q"] / st["n"] - st["s"] / st["n"] * st["s"] / st["n"], 3),
+    )
+    return aggregates.aggregate(_t(s, d, "lineitem"), ["l_linenumber"], [spread, Agg("count", None, "cnt")])
+
+
+@registered
+def run_decode(s, d):
+    runs = tables.run_lengths(_p(s, d, "orders").select("o_orderstatus", POS), "o_orderstatus")
+    return tables.run_decode(runs).select(F.col(POS).alias("at"), "v")
+
+
+@registered
+def sel_check(s, d):
+    chosen = _selected(s, d, P.LessThan("o_custkey", 700))
+    return s.createDataFrame([(i, selection.contains(chosen, i)) for i in (0, 1, 2, 3, 10_000_000)], "i long, chosen boolean")
+
+
+@registered
+def sel_all_none(s, d):
+    every, some = _p(s, d, "orders").select(POS), _selected(s, d, P.LessThan("o_custkey", 0))
+    whole = _selected(s, d, P.GreaterOrEqual("o_custkey", 0))
+    return s.createDataFrame([(selection.is_all(every, whole), selection.is_none(some), selection.is_all(every, some))], "whole boolean, none boolean, some boolean")
+
+
+def _some_orders(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    df = _p(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", POS)
+    return df, selection.select_where(df, P.LessThan("o_custkey", 300))
+
+
+@registered
+def sel_filter_values(s, d):
+    return selection.filter_selected(*_some_orders(s, d), lambda c: c % 7 == 3, "o_custkey")
+
+
+@registered
+def sel_filter_strings(s, d):
+    return selection.filter_selected(*_some_orders(s, d), lambda c: c.contains("URGENT"), "o_orderpriority")
+
+
+@registered
+def sel_map_values(s, d):
+    return selection.map_selected(*_some_orders(s, d), lambda c: c * 2 + 1, "o_custkey", "v").select(F.col(POS).alias("at"), "v")
+
+
+@registered
+def sel_gather(s, d):
+    return selection.apply_selection(*_some_orders(s, d)).select("o_orderkey", "o_custkey")
+
+
+@registered
+def sel_bitmap_round_trip(s, d):
+    return selection.positions(selection.bitmap(_some_orders(s, d)[1]))
+
+
+@registered
+def sel_intersect_strategies(s, d):
+    a, b = _selected(s, d, P.LessThan("o_custkey", 700)), _selected(s, d, P.Equals("o_orderstatus", "F"))
+    done = None
+    for k in range(len(STRATEGIES)):
+        one = selection.intersect(a, b, Intersector(regret_tree.Leaf(k))).withColumn("strategy", F.lit(k))
+        done = one if done is None else done.union(one)
+    return done
+
+
+@registered
+def intersection_features(s, d):
+    a, b = _selected(s, d, P.LessThan("o_custkey", 300)), _selected(s, d, P.Equals("o_orderstatus", "F"))
+    both = strategies.intersection_features(a, b).crossJoin(strategies.sample_hits(a, b))
+    return both.select(F.round("len_ratio", 9).alias("len_ratio"), F.round("overlap", 9).alias("overlap"), "hits")
+
+
+@registered
+def value_sizes(s, d):
+    made = F.struct("p_name", "p_size", F.array("p_brand", "p_type").alias("both"), F.create_map(F.lit("k"), "p_partkey").alias("m")).alias("x")
+    df = _t(s, d, "part").select("p_partkey", made)
+    return df.select("p_partkey", scalar.value_bytes(F.col("x"), df.schema["x"].dataType).cast("long").alias("size"))
+
+
+@registered
+def mix_hash_double(s, d):
+    return _t(s, d, "part").select("p_partkey", scalar.mix_hash(F.col("p_retailprice"), "double").alias("h"))
+
+
+@registered
+def random_strings(s, d):
+    text = scalar.random_text(F.col("c_custkey"), ["oak", "elm", "ash", "fir", "yew"], "PATTERN", 0.6)
+    return _t(s, d, "customer").select("c_custkey", text.alias("s"))
+
+
+@registered
+def filter_features(s, d):
+    df = _t(s, d, "orders").select("o_custkey", "o_orderpriority")
+    size = scalar.value_bytes(F.col("o_custkey"), "bigint") + scalar.value_bytes(F.col("o_orderpriority"), "string")
+    return strategies.filter_features(df, F.col("o_custkey") < 700, size).withColumn("selectivity", F.round("selectivity", 9))
+
+
+@registered
+def chunked_counts(s, d):
+    df = _p(s, d, "orders").select("o_custkey", POS)
+    return strategies.chunked(df, POS, df.count(), 500).groupBy("chunk").agg(F.count(F.lit(1)).alias("num_rows"))
+
+
+def _by_strategy(strategy: int, *ops: Q.Op):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        made = {op: policies.Single(strategy, 2) for op in ("filter", "plan", "sort")}
+        return Q.compile_query(s, d, Q.Query("q", ops), manager=StrategyManager(made), sample=0.1)
+
+    return run
+
+
+for _k in range(2):
+    QUERIES[f"strategy_filter_{_k}"] = _by_strategy(_k, Q.LoadParquet("orders.parquet"), Q.LessThan("o_custkey", 100), Q.SelectColumns(_OC))
+    QUERIES[f"strategy_needle_{_k}"] = _by_strategy(
+        _k, Q.LoadParquet("part.parquet"), Q.SmartStringOnTop("p_name", "ed", "p_size", 10), Q.SelectColumns(("p_partkey", "p_name"))
+    )
+    QUERIES[f"strategy_sort_{_k}"] = _by_strategy(_k, Q.LoadParquet("orders.parquet"), Q.LessThan("o_custkey", 50), Q.SortBy("o_custkey"), Q.SelectColumns(_OC))
+
+
+@registered
+def json_round_trip(s, d):
+    query = Q.Query("q", (Q.LoadParquet("orders.parquet"), Q.In("o_custkey", (1, 2, 3)), Q.Or(), Q.Between("o_custkey", 10, 13), Q.SelectColumns(_OC)))
+    text = io.StringIO()
+    Q.write_query(text, query)
+    [again] = Q.read_queries(["# a comment", "", *text.getvalue().splitlines()])
+    if again != query:
+        raise ValueError("a query changed on its way through JSON")
+    return Q.compile_query(s, d, again)
+
+
+@registered
+def from_arrow(s, d):
+    return sources.from_arrow(s, _t(s, d, "nation").toArrow())
+
+
+@registered
+def stream_rows(s, d):
+    df = _t(s, d, "nation")
+    return s.createDataFrame(list(sources.stream_rows(df)), df.schema)
+
+
+@registered
+def spooled(s, d):
+    return sources.spool(_t(s, d, "region"))
+
+
+@registered
+def cached_load(s, d):
+    cache = sources.TableCache(s, 1 << 26)
+    query = Q.Query("q", (Q.LoadParquet("supplier.parquet"), Q.LessThan("s_nationkey", 9), Q.SortBy("s_nationkey"), Q.FilterTop(20), Q.SelectColumns(("s_suppkey",))))
+    Q.compile_query(s, d, query, loader=cache.load)
+    return Q.compile_query(s, d, query, loader=cache.load)
+
+
+@registered
+def footer_statistics(s, d):
+    groups = sources.footer_frame(s, f"{d}/orders.parquet", "o_custkey")
+    ends = [F.min(F.col("min").cast("long")).alias("mn"), F.max(F.col("max").cast("long")).alias("mx")]
+    return groups.agg(F.sum("row_count").alias("row_count"), F.sum("null_count").alias("null_count"), *ends)
+
+
+@registered
+def literal_columns(s, d):
+    return tables.literal_table(s, [[1, 5, 9], [4, -2, 0]], ["a", "b"])
+
+
+@registered
+def materialized_table(s, d):
+    return materialized(_t(s, d, "nation").select("n_nationkey", "n_name"))
+
+
+@registered
+def table_columns(s, d):
+    df = _t(s, d, "nation")
+    return s.createDataFrame([(i, P.resolve(df, i), kind) for i, (_, kind) in enumerate(df.dtypes)], "place int, name string, kind string")
+
+
+@registered
+def runner_result(s, d):
+    query = Q.Query("q", (Q.LoadParquet("orders.parquet"), Q.LessThan("o_custkey", 20), Q.SelectColumns(_OC)))
+    return run_query(s, d, query, partitions=4)[0]

@@ -13,6 +13,8 @@ from calyxa.adaptive import manager, policies
 POLICIES = ("heuristic", "single_policy", "oracle_machine", "non_contextual_ucb", "cake", "cake_bs")
 OPERATIONS = ("filter", "query_plan", "sort")
 _SHORT = {"filter": "filter", "query_plan": "plan", "sort": "sort"}
+#: Features of each operation's decisions.
+_FEATURES = {"filter": 1, "query_plan": 2, "sort": 2}
 _DEFAULT_SINGLE = {"filter": 0, "query_plan": 1, "sort": 0}
 
 
@@ -48,8 +50,10 @@ class Config:
         if self.policy == "oracle_machine" and not self.replay_path:
             raise ValueError("oracle_machine needs oracle_policies_path")
         for name, op in self.operations.items():
-            if op.metric_type != "time":
-                raise ValueError(f"{name}: only the metric time can be measured here, not {op.metric_type}")
+            if op.metric_type not in manager.METRICS:
+                raise ValueError(f"{name}: {op.metric_type} can't be measured here, only {', '.join(manager.METRICS)}")
+            if op.num_features != _FEATURES[name]:
+                raise ValueError(f"{name} has {_FEATURES[name]} features, not {op.num_features}")
 
     def manager(self, learning: bool = False) -> manager.StrategyManager:
         made: dict[str, policies.Policy] = {}
@@ -64,7 +68,9 @@ class Config:
             elif self.policy in ("cake", "cake_bs"):
                 kind = policies.KernelPolicy if self.policy == "cake" else policies.BootstrapPolicy
                 made[short] = kind(op.num_policies, op.alpha, op.bandwidth, op.n_min, op.max_depth, op.freeze_after)
-        return manager.StrategyManager(made, learning)
+        metrics = {self.operations[n].metric_type for n in self.operations} or {"time"}
+        measure = manager.METRICS["cpu" if metrics == {"cpu"} else "time"]
+        return manager.StrategyManager(made, learning, measure, samples={"filter": 0.01, "plan": self.string_sample, "sort": self.sort_sample})
 
 
 def load(path: str | Path) -> Config:
@@ -78,7 +84,7 @@ def parse(raw: dict) -> Config:
             o = raw[name]
             cake = o.get("cake", {})
             ops[name] = OperationConfig(
-                o.get("num_features", 1),
+                o.get("num_features", _FEATURES[name]),
                 o.get("num_policies", 2),
                 o.get("metric_type", "time"),
                 o.get("ucb", {}).get("alpha", 1.0),

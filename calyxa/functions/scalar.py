@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The hash's multipliers (fixed values).
 MIX_1 = 0xED558CCD
@@ -28,9 +29,19 @@ def _times(x: Column, k: int) -> Column:
     return F.shiftleft(top.bitwiseAND(_LOW), 32).bitwiseOR(s.bitwiseAND(_LOW))
 
 
-def mix_hash(value: Column) -> Column:
-    """64-bit hash of an integer: shift, multiply the low half, twice; as a signed long."""
-    v = value.cast("long")
+#: Types that mix_hash knows.
+HASHED = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _bits(value: Column) -> Column:
+    """The 64 bits of a double as a long."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(value.cast("double"), F.lit(0.0)))
+    return F.when(value.isNotNull(), bits.cast("long"))
+
+
+def mix_hash(value: Column, dtype: str = "bigint") -> Column:
+    """64-bit hash of an integer or of a floating-point number's bits: shift, multiply the low half, twice; as a signed long."""
+    v = _bits(value) if dtype in ("float", "double") else value.cast("long")
     v = v.bitwiseXOR(F.shiftrightunsigned(v, 33))
     v = _times(v.bitwiseAND(_LOW), MIX_1)
     v = v.bitwiseXOR(F.shiftrightunsigned(v, 33))
@@ -41,17 +52,40 @@ def mix_hash(value: Column) -> Column:
 _WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4}
 
 
-def value_bytes(col: Column, dtype: str) -> Column:
-    """Bytes that a value takes: its width, or the length of a string or binary and 4 for its offset."""
-    if dtype in ("string", "binary"):
+def value_bytes(col: Column, dtype: str | T.DataType) -> Column:
+    """Bytes that a value takes: its width; 4 for the offset and the length of a string, binary, array or map; the fields of a struct."""
+    kind = T.DataType.fromDDL(dtype) if isinstance(dtype, str) else dtype
+    name = kind.simpleString()
+
+    def each(items: Column, inner: T.DataType) -> Column:
+        return F.coalesce(F.aggregate(F.transform(items, lambda x: value_bytes(x, inner).cast("long")), F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+
+    if name in ("string", "binary"):
         return F.coalesce(F.octet_length(col), F.lit(0)) + 4
-    if dtype.startswith("decimal"):
+    if isinstance(kind, T.DecimalType):
         return F.lit(16)
-    if dtype.startswith("timestamp"):
+    if name.startswith("timestamp"):
         return F.lit(8)
-    if dtype.startswith("array<"):
-        inner = dtype[len("array<") : -1]
-        return 4 + F.coalesce(F.aggregate(F.transform(col, lambda x: value_bytes(x, inner)), F.lit(0), lambda a, b: a + b), F.lit(0))
-    if dtype not in _WIDTHS:
-        raise TypeError(f"no size for {dtype}")
-    return F.lit(_WIDTHS[dtype])
+    if isinstance(kind, T.ArrayType):
+        return 4 + each(col, kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 4 + each(F.map_keys(col), kind.keyType) + each(F.map_values(col), kind.valueType)
+    if isinstance(kind, T.StructType):
+        return sum((value_bytes(col[f.name], f.dataType) for f in kind.fields), F.lit(0))
+    if name not in _WIDTHS:
+        raise TypeError(f"no size for {name}")
+    return F.lit(_WIDTHS[name])
+
+
+def random_text(number: Column, words: list[str], pattern: str, share: float, seed: str = "calyxa") -> Column:
+    """A text of two to nine of the words, always the same for a number; with probability `share` the pattern stands behind the first."""
+
+    def digit(what: str, k: Column | int) -> Column:
+        """A number from 0 to 65,535."""
+        digest = F.md5(F.concat_ws(":", F.lit(seed), F.lit(what), number.cast("string"), F.lit(k) if isinstance(k, int) else k.cast("string")).cast("binary"))
+        return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
+
+    from_list = lambda k: F.get(F.array(*[F.lit(w) for w in words]), digit("word", k) % len(words))
+    rest = F.transform(F.sequence(F.lit(1), digit("length", 0) % 8 + 1), from_list)
+    marked = F.when(digit("pattern", 0) < int(share * 65_536), F.array(F.lit(pattern))).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(F.array(from_list(F.lit(0))), marked, rest), " ")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,25 @@ class Agg:
         return make(F.col(f"`{resolve(df, self.col)}`")).alias(self.name)
 
 
-def aggregate(df: DataFrame, keys: Sequence[Ref], aggs: Sequence[Agg], first_seen: bool = False) -> DataFrame:
+@dataclass(frozen=True)
+class UserAgg:
+    """An aggregate of one's own: a state of built-in aggregates, and what it comes to.
+
+    state: for each part of it, a function from the input columns to an aggregate, which Spark
+    sums up before the shuffle and merges behind it; result: a function from the parts, by name.
+    """
+
+    name: str
+    cols: tuple[Ref, ...]
+    state: dict[str, Callable[..., Column]]
+    result: Callable[[dict[str, Column]], Column]
+
+    def column(self, df: DataFrame) -> Column:
+        inputs = [F.col(f"`{resolve(df, c)}`") for c in self.cols]
+        return self.result({k: f(*inputs) for k, f in self.state.items()}).alias(self.name)
+
+
+def aggregate(df: DataFrame, keys: Sequence[Ref], aggs: Sequence[Agg | UserAgg], first_seen: bool = False) -> DataFrame:
     """Keys, then aggregates; partial aggregation runs before the only shuffle.
 
     first_seen orders groups by their first position (df must have POS then).

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calyxa.functions.scalar import HASHED, mix_hash
 from calyxa.plans.predicates import Ref, resolve
 
 
@@ -79,6 +80,8 @@ def member_of(df: DataFrame, column: Ref, keys: DataFrame, key: Ref = 0) -> Data
 
 
 def chain_lengths(df: DataFrame, key: Ref, buckets: int) -> DataFrame:
-    """bucket, chain_len: rows of each bucket of the key modulo the number of buckets."""
-    value = F.col(f"`{resolve(df, key)}`")
-    return df.groupBy(F.pmod(value, F.lit(buckets)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("chain_len"))
+    """bucket, chain_len: rows of each bucket of the key's hash modulo the number of buckets; any type has a hash."""
+    name = resolve(df, key)
+    value, kind = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    hashed = mix_hash(value, kind) if kind in HASHED else F.xxhash64(value)
+    return df.groupBy(F.pmod(hashed, F.lit(buckets)).cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("chain_len"))

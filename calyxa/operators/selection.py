@@ -22,8 +22,9 @@ def select_where(df: DataFrame, p: Predicate | Column) -> DataFrame:
     return df.where(condition).select(F.col(POS).alias(IDX))
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b, IDX, "left_semi")
+def intersect(a: DataFrame, b: DataFrame, chooser=None) -> DataFrame:
+    """Positions in both; a chooser (an Intersector) says in which way."""
+    return a.join(b, IDX, "left_semi") if chooser is None else chooser.intersect(a, b)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -72,3 +73,11 @@ def bitmap(selected: DataFrame) -> DataFrame:
     return selected.groupBy(F.bitmap_bucket_number(F.col(IDX) + 1).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(F.col(IDX) + 1)).alias("bits")
     )
+
+
+def positions(bitmaps: DataFrame) -> DataFrame:
+    """The selection that `bitmap` was made of."""
+    byte = F.conv(F.hex(F.substring("bits", F.floor(F.col("i") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    each = bitmaps.select("bucket", "bits", F.explode(F.sequence(F.lit(0), F.length("bits") * 8 - 1)).alias("i"))
+    hit = byte.bitwiseAND(F.pow(F.lit(2), F.col("i") % 8).cast("int")) != 0
+    return each.where(hit).select(((F.col("bucket") - 1) * 32_768 + F.col("i")).cast("long").alias(IDX))

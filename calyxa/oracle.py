@@ -55,7 +55,12 @@ n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
 SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey < 5000 AND o_custkey IN (SELECT c_custkey FROM customer WHERE
 c_nationkey = 3)
 """,
-    "join_chain_lengths": "SELECT CAST(o_custkey % 32 AS BIGINT) AS bucket, count(*) AS chain_len FROM orders GROUP BY 1",
+    "join_chain_lengths": """
+WITH a AS (SELECT CAST(o_custkey AS UBIGINT) AS v FROM orders), b AS (SELECT xor(v, v >> 33) AS v FROM a), c AS (SELECT (v &
+4294967295::UBIGINT) * 3981806797::UBIGINT AS v FROM b), d AS (SELECT xor(v, v >> 33) AS v FROM c), e AS (SELECT (v &
+4294967295::UBIGINT) * 444984403::UBIGINT AS v FROM d) SELECT CAST(xor(v, v >> 33) % 32 AS BIGINT) AS bucket, count(*) AS chain_len
+FROM e GROUP BY 1
+""",
     "agg_count": "SELECT l_linenumber, count(*) AS cnt FROM lineitem GROUP BY l_linenumber",
     "agg_min_max": "SELECT l_suppkey, min(l_partkey) AS min_part, max(l_partkey) AS max_part FROM lineitem GROUP BY l_suppkey",
     "agg_sum": "SELECT l_suppkey, CAST(sum(l_partkey) AS BIGINT) AS sum_part FROM lineitem GROUP BY l_suppkey",
@@ -142,4 +147,98 @@ neff FROM w
 WITH a AS (SELECT l_linenumber AS arm, count(*) AS n, avg(l_partkey) AS mean FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS t
 FROM a) SELECT arm, n, round(mean - 1.0 * sqrt(2.0 * ln(t.t) / n), 6) AS lcb FROM a, t
 """,
+    "ucb_choice": """
+WITH a AS (SELECT l_linenumber AS arm, count(*) AS n, avg(l_partkey) AS mean FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS t
+FROM a) SELECT arm FROM a, t ORDER BY mean - sqrt(2.0 * ln(t.t) / n), arm LIMIT 1
+""",
+    "kernel_policy_choices": """
+WITH q AS (SELECT CAST(range AS INTEGER) AS tenth FROM range(11)), m AS (SELECT tenth, exp(-power(p_size / 50.0 - tenth / 10.0, 2) /
+0.01) AS w, p_size AS a, 60.0 - p_size AS b FROM part, q WHERE p_partkey < 150) SELECT tenth, CAST(CASE WHEN sum(w * a) <= sum(w *
+b) THEN 0 ELSE 1 END AS INTEGER) AS choice FROM m GROUP BY tenth
+""",
+    "regret_tree_choices": """
+WITH m AS (SELECT min(p_size) AS cut FROM part WHERE p_partkey < 150 AND p_size > 30) SELECT p_partkey, CAST(CASE WHEN p_size < cut
+THEN 0 ELSE 1 END AS INTEGER) AS choice FROM part, m
+""",
+    "simple_policy_choices": """
+SELECT CAST(i AS INTEGER) AS i, 1 AS rule, 0 AS single, CAST(r AS INTEGER) AS replay FROM (VALUES (0, 1), (1, 0), (2, 1)) t(i, r)
+""",
+    "pipeline_not_null": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_custkey < 50",
+    "pipeline_is_null": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IS NULL",
+    "filter_all": "SELECT r_regionkey FROM region",
+    "filter_hints": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey < 20 AND l_linenumber > 5",
+    "filter_wide_literal": "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber < 5000000000 AND l_linenumber > 5.5",
+    "predicate_depth": "SELECT 3 AS depth",
+    "join_default_keys": "SELECT c_custkey, c_name, o_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey",
+    "agg_user_defined": """
+SELECT l_linenumber, round(sum(CAST(l_partkey AS DOUBLE) * l_partkey) / count(*) - sum(CAST(l_partkey AS DOUBLE)) / count(*) *
+sum(CAST(l_partkey AS DOUBLE)) / count(*), 3) AS spread, count(*) AS cnt FROM lineitem GROUP BY 1
+""",
+    "run_decode": "SELECT o_orderkey AS at, o_orderstatus AS v FROM orders",
+    "sel_check": """
+SELECT i, EXISTS (SELECT 1 FROM orders WHERE o_orderkey = i AND o_custkey < 700) AS chosen FROM (SELECT CAST(unnest([0, 1, 2, 3,
+10000000]) AS BIGINT) AS i) t
+""",
+    "sel_all_none": "SELECT TRUE AS whole, TRUE AS none, FALSE AS some",
+    "sel_filter_values": "SELECT o_orderkey AS idx FROM orders WHERE o_custkey < 300 AND o_custkey % 7 = 3",
+    "sel_filter_strings": "SELECT o_orderkey AS idx FROM orders WHERE o_custkey < 300 AND contains(o_orderpriority, 'URGENT')",
+    "sel_map_values": "SELECT o_orderkey AS at, o_custkey * 2 + 1 AS v FROM orders WHERE o_custkey < 300",
+    "sel_gather": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 300",
+    "sel_bitmap_round_trip": "SELECT o_orderkey AS idx FROM orders WHERE o_custkey < 300",
+    "sel_intersect_strategies": """
+SELECT o_orderkey AS idx, CAST(k AS INTEGER) AS strategy FROM orders, range(3) t(k) WHERE o_custkey < 700 AND o_orderstatus = 'F'
+""",
+    "intersection_features": """
+WITH a AS (SELECT o_orderkey AS i FROM orders WHERE o_custkey < 300), b AS (SELECT o_orderkey AS i FROM orders WHERE o_orderstatus =
+'F'), f AS (SELECT i FROM a ORDER BY i LIMIT 10) SELECT round((SELECT count(*) FROM b) / (SELECT count(*) FROM a), 9) AS len_ratio,
+round((SELECT count(*) FROM a WHERE i BETWEEN (SELECT min(i) FROM b) AND (SELECT max(i) FROM b)) / (SELECT count(*) FROM a), 9) AS
+overlap, (SELECT count(*) FROM f WHERE i IN (SELECT i FROM b)) AS hits
+""",
+    "value_sizes": """
+SELECT p_partkey, CAST(strlen(p_name) + 4 + 4 + 4 + strlen(p_brand) + 4 + strlen(p_type) + 4 + 4 + 1 + 4 + 8 AS BIGINT) AS size FROM
+part
+""",
+    "mix_hash_double": """
+WITH a AS (SELECT p_partkey, CAST(CAST(p_retailprice AS DOUBLE) AS BIT)::UBIGINT AS v FROM part), b AS (SELECT p_partkey, xor(v, v >>
+33) AS v FROM a), c AS (SELECT p_partkey, (v & 4294967295::UBIGINT) * 3981806797::UBIGINT AS v FROM b), d AS (SELECT p_partkey, xor(v,
+v >> 33) AS v FROM c), e AS (SELECT p_partkey, (v & 4294967295::UBIGINT) * 444984403::UBIGINT AS v FROM d), f AS (SELECT p_partkey,
+xor(v, v >> 33) AS v FROM e) SELECT p_partkey, CAST(CASE WHEN v >= 9223372036854775808::UBIGINT THEN CAST(v AS HUGEINT) -
+18446744073709551616::HUGEINT ELSE CAST(v AS HUGEINT) END AS BIGINT) AS h FROM f
+""",
+    "random_strings": """
+WITH d AS (SELECT c_custkey, k, w, CAST('0x' || substr(md5('calyxa:' || w || ':' || c_custkey || ':' || k), 1, 4) AS INTEGER) AS x
+FROM customer, (SELECT 'word' AS w, CAST(range AS VARCHAR) AS k FROM range(10) UNION ALL VALUES ('length', '0'), ('pattern', '0')) t),
+n AS (SELECT c_custkey, max(x) FILTER (WHERE w = 'length') % 8 + 1 AS n, max(x) FILTER (WHERE w = 'pattern') < 39321 AS p FROM d GROUP
+BY 1) SELECT c_custkey, string_agg(CASE WHEN k = '0' AND p THEN s || ' PATTERN' ELSE s END, ' ' ORDER BY CAST(k AS INTEGER)) AS s FROM
+(SELECT c_custkey, k, p, n, ['oak', 'elm', 'ash', 'fir', 'yew'][x % 5 + 1] AS s FROM d JOIN n USING (c_custkey) WHERE w = 'word') u WHERE
+CAST(k AS INTEGER) <= n GROUP BY c_custkey
+""",
+    "filter_features": """
+SELECT count(*) AS num_rows, round(avg(CASE WHEN o_custkey < 700 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS selectivity,
+CAST(sum(8 + 4 + strlen(o_orderpriority)) AS BIGINT) AS bytes FROM orders
+""",
+    "chunked_counts": """
+SELECT CAST(CASE WHEN (SELECT count(*) FROM orders) < 1000 THEN 0 ELSE o_orderkey // 500 END AS BIGINT) AS chunk, count(*) AS num_rows
+FROM orders GROUP BY 1
+""",
+    "json_round_trip": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (1, 2, 3) OR (o_custkey > 10 AND o_custkey < 13)",
+    "from_arrow": "SELECT * FROM nation",
+    "stream_rows": "SELECT * FROM nation",
+    "spooled": "SELECT * FROM region",
+    "cached_load": "SELECT s_suppkey FROM supplier WHERE s_nationkey < 9 ORDER BY s_nationkey, s_suppkey LIMIT 20",
+    "footer_statistics": """
+SELECT count(*) AS row_count, CAST(count(*) - count(o_custkey) AS BIGINT) AS null_count, min(o_custkey) AS mn, max(o_custkey) AS mx FROM
+orders
+""",
+    "literal_columns": "SELECT CAST(a AS INTEGER) AS a, CAST(b AS INTEGER) AS b FROM (VALUES (1, 4), (5, -2), (9, 0)) t(a, b)",
+    "materialized_table": "SELECT n_nationkey, n_name FROM nation",
+    "table_columns": """
+SELECT CAST(i AS INTEGER) AS place, n AS name, k AS kind FROM (VALUES (0, 'n_nationkey', 'int'), (1, 'n_name', 'string'), (2,
+'n_regionkey', 'int')) t(i, n, k)
+""",
+    "runner_result": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 20",
 }
+for _k in range(2):
+    ORACLE_SQL[f"strategy_filter_{_k}"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 100"
+    ORACLE_SQL[f"strategy_needle_{_k}"] = "SELECT p_partkey, p_name FROM part WHERE p_size < 10 AND contains(p_name, 'ed')"
+    ORACLE_SQL[f"strategy_sort_{_k}"] = "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey < 50"

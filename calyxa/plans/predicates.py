@@ -240,7 +240,8 @@ def multi_and(predicates: Sequence[Predicate]) -> Predicate:
 
 
 def conjuncts(p: Predicate) -> list[Predicate]:
-    if isinstance(p, And | Then):
+    """The parts of a conjunction; a Then is one part, as its order is its meaning."""
+    if isinstance(p, And):
         a, b = p.children()
         return conjuncts(a) + conjuncts(b)
     return conjuncts(p.inner) if isinstance(p, Hint) else [p]
@@ -265,7 +266,7 @@ def normal_form(p: Predicate, negated: bool = False) -> Predicate:
 
 
 def tightest_bounds(p: Predicate) -> Predicate:
-    """Of upper (and of lower) bounds on one column in a conjunction, only the tightest stays."""
+    """Of upper (and of lower) bounds on one column in a conjunction, only the tightest stays; bounds come first."""
     parts = conjuncts(p)
     best: dict[tuple, Compare] = {}
     rest: list[Predicate] = []
@@ -281,4 +282,4 @@ def tightest_bounds(p: Predicate) -> Predicate:
                 best[at] = c
         else:
             rest.append(c)
-    return multi_and([*rest, *best.values()])
+    return multi_and([*best.values(), *rest])

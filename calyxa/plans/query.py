@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from typing import ClassVar, TextIO
@@ -11,8 +12,9 @@ from typing import ClassVar, TextIO
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calyxa.adaptive import strategies
 from calyxa.plans import predicates as P
-from calyxa.sources.parquet import POS, load_with_position
+from calyxa.sources.parquet import POS, load, load_with_position
 
 
 class Op:
@@ -239,11 +241,25 @@ def _folded(ops: tuple[Op, ...]) -> list[Op | P.Predicate]:
     return out
 
 
-def _decided(df: DataFrame, p: P.Predicate, visible: DataFrame, manager, sample: float) -> DataFrame:
-    """The filter by the strategy that the manager chooses, from features of a sample of rows."""
-    from calyxa.adaptive import strategies
+#: What needs the positions of rows.
+_BY_POSITION = (SortBy, FilterTop, SetSelection)
+
+
+def _use_of_positions(ops: Sequence[Op | P.Predicate]) -> tuple[bool, int | None]:
+    """For the ops behind a load: whether they need positions, and the number of first rows if these are all they see."""
+    mine = list(itertools.takewhile(lambda op: not isinstance(op, LoadParquet), ops))
+    ahead = list(itertools.dropwhile(lambda op: isinstance(op, SelectColumns), mine))
+    return any(isinstance(op, _BY_POSITION) for op in mine), ahead[0].n if ahead and isinstance(ahead[0], FilterTop) else None
+
 
-    some = df.sample(fraction=sample, seed=1)
+def _loaded(spark: SparkSession, path: str, positions: bool, first: int | None) -> DataFrame:
+    return load_with_position(spark, path, first) if positions else load(spark, path)
+
+
+def _decided(df: DataFrame, p: P.Predicate, visible: DataFrame, manager, sample: float | None) -> DataFrame:
+    """The filter by the strategy that the manager chooses, from features of a sample of rows."""
+    needle = isinstance(p, P.Then) and isinstance(p.second, P.Contains)
+    some = df.sample(fraction=sample or manager.samples["plan" if needle else "filter"], seed=1)
     if isinstance(p, P.Then) and isinstance(p.second, P.Contains):
         number, needle = p.first.column(visible), p.second.column(visible)
         text = F.col(f"`{P.resolve(visible, p.second.col)}`")
@@ -256,7 +272,7 @@ def _decided(df: DataFrame, p: P.Predicate, visible: DataFrame, manager, sample:
 
 
 def compile_query(
-    spark: SparkSession, job_path: str, query: Query, nulls: str = "zero", loader=None, manager=None, sample: float = 0.01
+    spark: SparkSession, job_path: str, query: Query, nulls: str = "zero", loader=None, manager=None, sample: float | None = None, partitions: int | None = None
 ) -> DataFrame:
     """The query as a lazy DataFrame.
 
@@ -266,18 +282,26 @@ def compile_query(
     Sorts are stable by position and, with nulls="zero", order nulls as 0; with
     nulls="first" as Spark does.  FilterTop takes the first rows of the current order: a
     sort directly before it makes one top-k of both.
+
+    Positions are made only if an operation needs them, and then no more than FilterTop asks for.
+    loader(path, positions, first) loads a table in another way; with partitions, rows are dealt
+    to so many tasks after loading.
     """
     if nulls not in ("zero", "first"):
         raise ValueError(f"nulls must be zero or first, not {nulls!r}")
-    loader = loader or (lambda path: load_with_position(spark, path))
+    loader = loader or (lambda path, positions, first: _loaded(spark, path, positions, first))
     df: DataFrame | None = None
     order: list | None = None
     hidden: dict[str, str] = {}
     shown: list[str] = []
-    for op in _folded(query.ops):
+    ops = _folded(query.ops)
+    whole = False
+    for k, op in enumerate(ops):
         if isinstance(op, LoadParquet):
-            df = loader(f"{job_path.rstrip('/')}/{op.file}")
-            order, hidden, shown = None, {}, [c for c in df.columns if c != POS]
+            positions, first = _use_of_positions(ops[k + 1 :])
+            df = loader(f"{job_path.rstrip('/')}/{op.file}", positions, first)
+            df = df.repartition(partitions) if partitions else df
+            order, hidden, shown, whole = None, {}, [c for c in df.columns if c != POS], True
             continue
         if df is None:
             raise ValueError("the first operation must be LoadParquet")
@@ -285,6 +309,7 @@ def compile_query(
         if isinstance(op, P.Predicate):
             p = P.tightest_bounds(P.normal_form(op)) if not isinstance(op, P.Then) else op
             df = df.where(p.column(visible)) if manager is None else _decided(df, p, visible, manager, sample)
+            whole = False
         elif isinstance(op, SelectColumns):
             shown = [P.resolve(visible, c) for c in op.cols]
         elif isinstance(op, SortBy):
@@ -298,16 +323,19 @@ def compile_query(
             hidden[key] = name
             order = [F.col(key).desc() if op.direction == "Descending" else F.col(key).asc(), *(order or [F.col(POS)])]
         elif isinstance(op, FilterTop):
-            df = df.orderBy(*(order or [F.col(POS)])).limit(op.n)
+            # of all rows in the order of the file, the first ones are told by their positions
+            df = df.where(F.col(POS) < op.n) if whole and not order else df.orderBy(*(order or [F.col(POS)])).limit(op.n)
+            whole = False
         elif isinstance(op, SetSelection):
             rows = op.rows
             if not isinstance(rows, DataFrame):
                 rows = spark.createDataFrame([(int(i),) for i in rows], f"{POS} long")
             df = df.join(rows.select(F.col(rows.columns[0]).cast("long").alias(POS)).distinct(), POS, "left_semi")
+            whole = False
         else:
             raise NotImplementedError(type(op).__name__)
     if df is None:
         raise ValueError("the first operation must be LoadParquet")
     if order and not (query.ops and isinstance(query.ops[-1], FilterTop)):
-        df = df.orderBy(*order)
+        df = df.orderBy(*order) if manager is None else strategies.sorted_by(df, order, list(hidden)[-1], POS, manager)
     return df.select(*[F.col(f"`{c}`") for c in shown])

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from calyxa import config
 from calyxa.adaptive import policies, regret_tree, strategies
-from calyxa.adaptive.manager import Decision, StrategyManager
+from calyxa.adaptive.manager import METRICS, Decision, StrategyManager
 
 
 def test_best_single_and_split():
@@ -124,9 +124,11 @@ def test_config(tmp_path):
     assert c.cache_bytes == 2 * 2**30 and c.operations["filter"].alpha == 0.4 and c.single == {"filter": 0, "query_plan": 1, "sort": 1}
     assert isinstance(c.manager().policies["filter"], policies.KernelPolicy)
     assert isinstance(config.parse({"policy": "single_policy"}).manager().policies["plan"], policies.Single)
+    made = config.parse({"policy": "cake", "string_contains_feature_sample_ratio": 0.5, "filter": {"metric_type": "cpu"}}).manager()
+    assert made.samples["plan"] == 0.5 and made.measure is METRICS["cpu"]
     (tmp_path / "r").write_text("1 0\n")
     assert config.parse({"policy": "oracle_machine", "oracle_policies_path": str(tmp_path / "r")}).manager().policies["sort"].choose(()) == 0
-    for bad in ({"policy": "nope"}, {"policy": "oracle_machine"}, {"filter": {"metric_type": "cycles"}}):
+    for bad in ({"policy": "nope"}, {"policy": "oracle_machine"}, {"filter": {"metric_type": "cycles"}}, {"sort": {"num_features": 1}}):
         with pytest.raises(ValueError):
             config.parse(bad)
     (tmp_path / "c.yml").write_text("policy: non_contextual_ucb\n")
@@ -155,4 +157,19 @@ def test_queries_with_a_manager_give_the_same_rows(spark, tmp_path):
     want = Q.compile_query(spark, str(tmp_path), q).collect()
     for _ in range(3):
         assert Q.compile_query(spark, str(tmp_path), q, manager=m, sample=0.5).collect() == want
-    assert [op for op, _ in m.log] == ["filter", "plan"] * 3 and len({k for _, k in m.log}) == 2
+    assert [op for op, _ in m.log] == ["filter", "plan", "sort"] * 3 and len({k for _, k in m.log}) == 2
+    plan = Q.compile_query(spark, str(tmp_path), q, manager=StrategyManager())._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "LessThan(id,200)" in plan
+
+
+def test_cpu_is_measured(spark):
+    df = spark.range(2_000_000).selectExpr("count_if(sha2(cast(id as string), 256) like '00%') n")
+    assert METRICS["cpu"](df) > 0.05
+
+
+def test_chunks(spark):
+    assert [strategies.chunk_count(n, 10) for n in (0, 19, 20, 21)] == [1, 1, 2, 3]
+    df = spark.range(35).withColumnRenamed("id", "p")
+    got = strategies.chunked(df, "p", 35, 10)
+    assert {r["chunk"]: r["count"] for r in got.groupBy("chunk").count().collect()} == {0: 10, 1: 10, 2: 10, 3: 5}
+    assert {r.chunk for r in strategies.chunked(df, "p", 35, 20).collect()} == {0}

@@ -1,9 +1,10 @@
+import struct
 import pytest
 from pyspark.sql import functions as F
 
 from calyxa.functions import scalar
 from calyxa.operators import aggregates, joins, ranks, selection, tables
-from calyxa.operators.aggregates import Agg
+from calyxa.operators.aggregates import Agg, UserAgg
 from calyxa.plans import predicates as P
 from calyxa.sources.parquet import POS
 
@@ -18,21 +19,28 @@ def values(df, *cols):
 
 
 def test_aggregates(spark):
-    df = spark.createDataFrame([(1, 100), (2, 200), (3, 300), (1, -100), (2, -200), (3, 900), (100, 100), (None, None)], "k int, v int")
+    df = spark.createDataFrame([(7, 40), (8, 11), (9, 5), (7, -40), (8, -6), (9, 25), (70, 2), (None, None)], "k int, v int")
     aggs = [Agg("count", None, "n"), Agg("min", "v", "mn"), Agg("max", 1, "mx"), Agg("sum", "v", "s"), Agg("mean", "v", "m")]
     got = {r.k: tuple(r)[1:] for r in aggregates.aggregate(df, ["k"], aggs).collect()}
-    assert got[1] == (2, -100, 100, 0, 0.0) and got[3] == (2, 300, 900, 1200, 600.0) and got[None] == (1, None, None, None, None)
+    assert got[7] == (2, -40, 40, 0, 0.0) and got[9] == (2, 5, 25, 30, 15.0) and got[None] == (1, None, None, None, None)
     with pytest.raises(ValueError):
         aggregates.aggregate(df, ["k"], [Agg("median", "v", "x")])
     assert aggregates.group_count(df, ["k"]).first()[0] == 5
 
 
 def test_tickets_are_dense_and_first_seen(spark):
-    df = positioned(spark, [(x,) for x in (1, 2, 2, 3, 3, 1, 2, -1000, None)], "a int")
+    df = positioned(spark, [(x,) for x in (6, 4, 4, 9, 9, 6, 4, -70, None)], "a int")
     got = {r[POS]: r.ticket for r in aggregates.tickets(df, "a").collect()}
     assert [got[i] for i in range(9)] == [0, 1, 1, 2, 2, 0, 1, 3, 4]
     order = [r.a for r in aggregates.aggregate(df, ["a"], [Agg("count", None, "n")], first_seen=True).collect()]
-    assert order == [1, 2, 3, -1000, None]
+    assert order == [6, 4, 9, -70, None]
+
+
+def test_aggregates_of_ones_own(spark):
+    df = spark.createDataFrame([(1, 2.0, 1.0), (1, 4.0, 3.0), (2, 5.0, 2.0), (2, None, 1.0)], "k int, v double, w double")
+    mean = UserAgg("m", ("v", "w"), {"s": lambda v, w: F.sum(v * w), "n": lambda v, w: F.sum(F.when(v.isNotNull(), w))}, lambda st: st["s"] / st["n"])
+    assert {r.k: r.m for r in aggregates.aggregate(df, ["k"], [mean]).collect()} == {1: 3.5, 2: 5.0}
+    assert "partial_sum" in aggregates.aggregate(df, ["k"], [mean])._jdf.queryExecution().executedPlan().toString()
 
 
 def test_ranks(spark):
@@ -43,8 +51,8 @@ def test_ranks(spark):
 
 
 def test_join_names_keys_and_nulls(spark):
-    build = spark.createDataFrame([(x,) for x in (1, 2, 2, 3, 3, 1, 2, -1000, 1, 2, None)], "a int")
-    probe = spark.createDataFrame([(1,), (2,), (3,), (None,)], "b int")
+    build = spark.createDataFrame([(x,) for x in (4, 5, 5, 8, 8, 4, 5, 90, 4, 5, None)], "a int")
+    probe = spark.createDataFrame([(4,), (5,), (8,), (None,)], "b int")
     df = joins.hash_join(build, probe, [0], build_name="t", probe_name="u")
     assert df.columns == ["t_a", "u_b"] and df.count() == 9 and df.where("t_a != u_b").count() == 0
     with pytest.raises(ValueError):
@@ -72,9 +80,15 @@ def test_multi_join(spark):
 
 
 def test_membership_is_exact(spark):
-    keys = spark.createDataFrame([(x,) for x in (1, 5, 10, 20, 900, 6, 950, 2, None, 5)], "k int")
-    df = spark.createDataFrame([(x,) for x in (1, 5, 1000, 10000, -400, 950, None)], "a int")
-    assert values(joins.member_of(df, "a", keys), "a") == [(1,), (5,), (950,)]
+    keys = spark.createDataFrame([(x,) for x in (3, 8, 14, 77, 8, None)], "k int")
+    df = spark.createDataFrame([(x,) for x in (3, 8, 15, -3, 77, None)], "a int")
+    assert values(joins.member_of(df, "a", keys), "a") == [(3,), (8,), (77,)]
+
+
+def test_chain_lengths_of_any_key(spark):
+    df = spark.range(1000).selectExpr("id", "concat('k', id % 50) s", "id / 3.0D f")
+    for key in ("id", "s", "f"):
+        assert joins.chain_lengths(df, key, 16).agg(F.sum("chain_len")).first()[0] == 1000
 
 
 def test_stacking_and_slices(spark):
@@ -144,7 +158,9 @@ def test_selection_algebra(spark):
     assert selection.is_none(s.limit(0)) and not selection.is_all(df, s) and selection.is_all(df, selection.select_where(df, P.All()))
     assert values(selection.filter_selected(df, s, lambda c: c % 2 == 1, "a"), "idx") == [(15,), (25,)]
     assert values(selection.map_selected(df, s, lambda c: c * 2, "a", "d"), "d")[:2] == [(8,), (20,)]
-    assert selection.bitmap(s).count() == 1
+    assert selection.bitmap(s).count() == 1 and values(selection.positions(selection.bitmap(s)), "idx") == values(s, "idx")
+    far = spark.createDataFrame([(i,) for i in (0, 32_767, 32_768, 100_000)], "idx long")
+    assert values(selection.positions(selection.bitmap(far)), "idx") == values(far, "idx")
 
 
 def mixed(v):
@@ -162,6 +178,9 @@ def test_hash(spark):
     xs = [*range(-1000, 1000), 2**31, -(2**63), 2**63 - 1]
     df = spark.createDataFrame([(x,) for x in xs], "v long").select("v", scalar.mix_hash(F.col("v")).alias("h"))
     assert all(r.h == mixed(r.v) for r in df.collect()) and mixed(1) == 1771841920360893980
+    xs = [0.0, -0.0, 1.5, -2.25e300, float("inf"), None]
+    df = spark.createDataFrame([(x,) for x in xs], "v double").select("v", scalar.mix_hash(F.col("v"), "double").alias("h"))
+    assert [r.h for r in df.collect()] == [None if x is None else mixed(struct.unpack("<q", struct.pack("<d", x))[0]) for x in xs]
 
 
 def test_masks_and_sizes(spark):
@@ -170,3 +189,7 @@ def test_masks_and_sizes(spark):
     assert [r[0] for r in df.select(scalar.if_else(F.col("m"), F.lit(1), F.lit(0))).collect()] == [1, 0, 0]
     t = spark.createDataFrame([("abc", [1, 2])], "s string, x array<int>")
     assert tuple(t.select(scalar.value_bytes(F.col("s"), "string"), scalar.value_bytes(F.col("x"), "array<int>")).first()) == (7, 12)
+    t = spark.sql("select named_struct('a', 1, 'b', 'xy') s, map('k', 2L, 'll', 3L) m")
+    assert tuple(t.select(*[scalar.value_bytes(F.col(c), t.schema[c].dataType) for c in "sm"]).first()) == (10, 4 + 5 + 6 + 16)
+    texts = [r[0] for r in spark.range(400).select(scalar.random_text(F.col("id"), ["a", "b"], "P", 0.5)).collect()]
+    assert 150 < sum("P" in t for t in texts) < 250 and all(t.split()[0] in "ab" for t in texts) and len(set(texts)) > 100

@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from calyxa import runner
+from calyxa.plans import predicates as P
 from calyxa.plans import query as Q
 from calyxa.streaming.pipeline import apply_to_stream
 
@@ -93,6 +94,43 @@ def test_plans_push_down(spark, job):
     assert "LessThan(id,5)" in plan and "name" not in plan.split("ReadSchema")[-1]
 
 
+def jobs(spark, f):
+    """The result of f, and how many jobs it took."""
+    group = f"count-{id(f)}"
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return f(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_positions_are_made_only_if_needed(spark, job):
+    plain = Q.Query("q", (Q.LoadParquet("many"), Q.LessThan("id", 5), Q.SelectColumns(("id",))))
+    schema = spark.read.parquet(f"{job}/many").schema
+    loader = lambda path, positions, first: spark.read.schema(schema).parquet(path) if not positions else Q.load_with_position(spark, path, first)
+    df, n = jobs(spark, lambda: Q.compile_query(spark, job, plain, loader=loader))
+    assert n == 0 and "row_index" not in df._jdf.queryExecution().executedPlan().toString()
+    top = Q.compile_query(spark, job, Q.Query("q", (Q.LoadParquet("many"), Q.SelectColumns(("id",)), Q.FilterTop(3))))
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort [" not in plan and sorted(r.id for r in top.collect()) == [1, 2, 3]
+    both = Q.compile_query(spark, job, Q.Query("q", (Q.LoadParquet("many"), Q.FilterTop(9), Q.GreaterThan("id", 2), Q.FilterTop(2))))
+    assert sorted(r.id for r in both.collect()) == [3, 4]
+
+
+def test_bounds_are_tested_before_needles():
+    p = P.tightest_bounds(P.Contains("s", "x") & P.LessThan("a", 9) & P.LessThan("a", 5))
+    assert p == P.And(P.LessThan("a", 5), P.Contains("s", "x"))
+    then = P.Then(P.Contains("s", "x"), P.LessThan("a", 9))
+    assert P.tightest_bounds(then & P.LessThan("a", 3)) == P.And(P.LessThan("a", 3), then)
+
+
+def test_runner_with_a_cache_and_partitions(spark, job, tmp_path, capsys):
+    (tmp_path / "q.jsonl").write_text(LINE + "\n")
+    (tmp_path / "c.yml").write_text("parquet_cache_memory_budget_gb: 1\n")
+    runner.main(["--queries", str(tmp_path / "q.jsonl"), "--job-path", job, "--config", str(tmp_path / "c.yml"), "--partitions", "3", "--run-all"])
+    assert "Total time" in capsys.readouterr().out
+
+
 def test_runner_reports(spark, job, capsys):
     [query] = Q.read_queries([LINE])
     report = runner.run_all(spark, job, [query, query], n_epochs=2)

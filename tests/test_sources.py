@@ -15,7 +15,7 @@ def path(tmp_path_factory):
 
 
 def test_footer(spark, path):
-    f = S.Footer(path)
+    f = S.Footer(spark, path)
     assert f.row_counts() == [1000] * 10 and f.null_counts("c2") == [500] * 10 and f.null_counts(0) == [0] * 10
     assert f.mins(0) == [1000 * i for i in range(10)] and f.maxs("c1") == [1000 * i + 999 for i in range(10)]
     assert f.column(1) == "c2"
@@ -23,6 +23,31 @@ def test_footer(spark, path):
     assert len(rows) == 10 and rows[3].min == "3000" and rows[3].row_count == 1000
 
 
+def test_footers_of_a_folder(spark, tmp_path):
+    spark.range(100).selectExpr("id", "if(id % 4 = 0, null, concat('s', id)) s", "struct(id y) z").repartition(3).write.parquet(str(tmp_path / "t"))
+    for at in (str(tmp_path / "t"), f"file://{tmp_path}/t"):
+        f = S.Footer(spark, at)
+        assert sum(f.row_counts()) == 100 and len(f.row_counts()) == 3 and sum(f.null_counts("s")) == 25
+        assert min(f.mins("id")) == 0 and max(f.maxs("id")) == 99 and max(f.maxs("s")) == "s99"
+
+
+def test_first_rows_read_no_more_files(spark, tmp_path):
+    for i in range(4):
+        spark.range(i * 10, i * 10 + 10).coalesce(1).write.mode("append").parquet(str(tmp_path / "t" / f"p{i}"))
+    paths = str(tmp_path / "t" / "*")
+    whole = S.load_with_position(spark, paths)
+    assert sorted((r.id, r[S.POS]) for r in whole.collect()) == [(i, i) for i in range(40)]
+    some = S.load_with_position(spark, paths, first=15)
+    assert len(some.inputFiles()) == 2 and sorted(r.id for r in some.collect()) == list(range(20))
+
+
+def test_cache_gives_positions(spark, path):
+    cache = S.TableCache(spark, 1 << 30)
+    a = cache.load(path, positions=True)
+    assert cache.load(path, positions=True, first=5) is a and cache.load(path) is not a and S.POS in a.columns
+    cache.clear()
+
+
 def test_positions(spark, path):
     df = S.load_with_position(spark, path)
     assert df.where(df[S.POS] != df.c1).count() == 0
@@ -39,7 +64,7 @@ def test_cache_evicts_the_oldest(spark, path):
     cache.load(others[0])
     cache.load(path)
     cache.load(others[1])
-    assert list(cache.kept) == [path, others[1]] and cache.used <= cache.budget
+    assert list(cache.kept) == [(path, False), (others[1], False)] and cache.used <= cache.budget
     cache.clear()
     none = S.TableCache(spark, 0)
     none.load(path)
