@@ -9,8 +9,8 @@ collision never counts, and folded per document.
 
 The benchmark is the only thing that is broadcast.  Its windows are counted first: one set holds
 MAX_HASHES at most, of more there are several sets, each with a scan of its own, so any number of
-windows has the same result.  Where windows begin with at most MAX_FIRSTS different words,
-positions of other words are left out before windows are put together.
+windows has the same result.  Where the benchmark has at most MAX_VOCABULARY different words,
+windows with any other word are left out before they are put together.
 
 Edge cases: null or blank text has no words (n_words 0, not contaminated); null or
 blank items are no windows; an item whose id is null makes its words hits, but is neither
@@ -21,14 +21,17 @@ empty tables give empty results; columns other than doc_id, text, item_id are no
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calyxa.llm.scratch import Scratch
 
 WINDOW = 10
-#: Hashes of one broadcast set, different first words that positions are told by, windows with their items that are broadcast for verification.
-MAX_HASHES, MAX_FIRSTS, MAX_VERIFIED = 4_000_000, 10_000, 50_000
+#: Hashes of one broadcast set, different words that positions are told by, windows with their items that are broadcast for verification.
+MAX_HASHES, MAX_VOCABULARY, MAX_VERIFIED = 4_000_000, 20_000, 50_000
 #: Words of a document whose windows are put together at a time.
 BLOCK = 2048
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -56,34 +59,36 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _windows(length: int, firsts: list[str] | None) -> Column:
-    """at, len, gram of the windows of a block(before, w) that begin with one of the first words, if these are given."""
+def _windows(length: int, told: bool) -> Column:
+    """at, len, gram of the windows of a block(before, w); if told, of those all of whose words are `known`."""
     last = F.least(F.lit(BLOCK), F.size("w") - length + 1)
     starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    if firsts is not None:
-        starts = F.filter(starts, lambda i: F.get("w", i - 1).isin(firsts))
+    if told:
+        starts = F.filter(starts, lambda i: reduce(and_, [F.get("known", i + k) for k in range(-1, length - 1)]))
     gram = lambda i: F.array_join(F.slice("w", i, F.lit(length)), " ")
     return F.transform(starts, lambda i: F.struct((F.col("before") + i).alias("at"), F.lit(length).alias("len"), gram(i).alias("gram")))
 
 
-def _scan(texts: DataFrame, hashes: DataFrame, firsts: dict[int, list[str] | None], heads: bool) -> DataFrame:
+def _scan(texts: DataFrame, hashes: DataFrame, lengths: list[int], vocabulary: list[str] | None, heads: bool) -> DataFrame:
     """row, doc_id, n_words, at, len, gram of every window of texts(row, doc_id, w) whose hash is in the set.
 
-    firsts: for each length of windows the words that one may begin with, or None for any.  With
-    heads, every text has one more row, at 0.
+    lengths: those of windows; vocabulary: all words of windows, or None if they are too many to tell
+    by.  With heads, every text has one more row, at 0.
     """
-    longest = max(firsts, default=1)
+    longest = max(lengths, default=1)
     n = F.size("w")
     cuts = F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / BLOCK).cast("int"))
     block = F.explode(F.transform(cuts, lambda k: F.struct((k * BLOCK).alias("before"), F.slice("w", k * BLOCK + 1, F.lit(BLOCK + longest - 1)).alias("w"))))
     blocks = texts.select("row", "doc_id", n.cast("long").alias("n_words"), block.alias("b")).select("row", "doc_id", "n_words", "b.before", "b.w")
+    if vocabulary is not None:
+        blocks = blocks.withColumn("known", F.transform("w", lambda x: x.isin(vocabulary)))
     found = [
         F.filter(
             F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit(None).cast("string").alias("gram"))),
             lambda _: F.lit(heads) & (F.col("before") == 0),
         )
     ]
-    found += [_windows(length, some) for length, some in sorted(firsts.items())]
+    found += [_windows(length, vocabulary is not None) for length in lengths]
     windows = blocks.select("row", "doc_id", "n_words", F.explode(F.concat(*found)).alias("h")).select("row", "doc_id", "n_words", "h.*")
     hashed = windows.withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("gram")))
     known = hashes.select(F.col("hash").alias("known"))
@@ -98,19 +103,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, windo
     """
     windows = scratch.table(benchmark_windows(benchmark, window), "windows")
     hashes = scratch.table(windows.select(F.xxhash64("gram").alias("hash")).distinct(), "hashes")
-    n, firsts = hashes.count(), {}
-    # at most `window` rows
-    begins = F.substring_index("gram", " ", 1)
-    for r in windows.groupBy("len").agg(F.approx_count_distinct(begins).alias("n")).collect():
-        few = r["n"] <= MAX_FIRSTS
-        some = windows.where(F.col("len") == r["len"]).select(begins.alias("w")).distinct()
-        firsts[r["len"]] = sorted(x["w"] for x in some.collect()) if few else None
+    n = hashes.count()
+    lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most `window` rows
+    said = windows.select(F.explode(F.split("gram", " ")).alias("w")).distinct().limit(MAX_VOCABULARY + 1).collect()
+    vocabulary = sorted(r["w"] for r in said) if len(said) <= MAX_VOCABULARY else None
     texts = docs.select("row", "doc_id", words(F.col("text")).alias("w"))
     sets = max(1, -(-n // MAX_HASHES))
     parts = []
     for k in range(sets):
         part = hashes.where(F.pmod("hash", F.lit(sets)) == k) if sets > 1 else hashes
-        parts.append(scratch.table(_scan(texts, part, firsts, heads=k == 0), f"scanned-{k}"))
+        parts.append(scratch.table(_scan(texts, part, lengths, vocabulary, heads=k == 0), f"scanned-{k}"))
     scanned = parts[0]
     for more in parts[1:]:
         scanned = scanned.union(more)

@@ -41,9 +41,9 @@ def found(spark, docs, items):
 
 @pytest.mark.parametrize("large", [False, True])
 def test_equals_brute_force(spark, monkeypatch, large):
-    if large:  # several sets, any first word, windows joined by shuffle, blocks shorter than a window
+    if large:  # several sets, any word, windows joined by shuffle, blocks shorter than a window
         monkeypatch.setattr(D, "MAX_HASHES", 17)
-        monkeypatch.setattr(D, "MAX_FIRSTS", 0)
+        monkeypatch.setattr(D, "MAX_VOCABULARY", 0)
         monkeypatch.setattr(D, "MAX_VERIFIED", 0)
         monkeypatch.setattr(D, "BLOCK", 7)
     rng = random.Random(5)
@@ -68,7 +68,7 @@ def test_no_shuffle_of_windows(spark):
     """A large benchmark is looked up where texts are scanned: the plan has no exchange but the broadcast of hashes."""
     texts = D.with_row(spark.range(3).selectExpr("id doc_id", "'a b c d' text")).select("row", "doc_id", D.words(F.col("text")).alias("w"))
     hashes = spark.range(5_000_000).selectExpr("xxhash64(id) hash")
-    plan = D._scan(texts, hashes, {10: None, 3: None}, True)._jdf.queryExecution().executedPlan().toString()
+    plan = D._scan(texts, hashes, [3, 10], None, True)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
 
 
