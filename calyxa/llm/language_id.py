@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -287,11 +288,11 @@ def score(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scratc
             pred, best, whole = [], [], []
             for i in range(0, len(texts), 256):
                 some = [_marked(t) if t and langs and has_letter(t) else [] for t in texts[i : i + 256]]
-                met = dict.fromkeys(w for ws in some for w in ws if len(w) <= LONG)
-                new = [w for w in met if w not in seen]
+                met = dict.fromkeys(chain.from_iterable(some))
+                new = [w for w in met if w not in seen and len(w) <= LONG]
                 if len(seen) + len(new) > room:
                     seen.clear()
-                    new = list(met)
+                    new = [w for w in met if len(w) <= LONG]
                     if len(new) > room:
                         room = len(new)
                         scores = np.zeros((room, len(langs)))
@@ -304,10 +305,11 @@ def score(docs: DataFrame, table: tuple, langs: list[str], p: np.ndarray, scratc
                     if not ws:
                         pred.append(None), best.append(0.0), whole.append(0.0)
                         continue
-                    short = [seen[w] for w in ws if len(w) <= LONG]
-                    total = scores[np.array(short, np.int64)].sum(axis=0)
-                    if len(short) < len(ws):
-                        for w in ws:  # one at a time, not remembered: they may be whole texts
+                    try:
+                        total = scores[np.fromiter(map(seen.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
+                    except KeyError:  # long words are summed one at a time and not remembered: they may be whole texts
+                        total = scores[np.array([seen[w] for w in ws if len(w) <= LONG], np.int64)].sum(axis=0)
+                        for w in ws:
                             if len(w) > LONG:
                                 total = total + lattice.forward([w], p)[0]
                     k = int(np.argmax(total))
