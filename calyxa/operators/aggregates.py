@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from calyxa.operators.ranks import with_rank
 from calyxa.plans.predicates import Ref, resolve
 from calyxa.sources.parquet import POS
+from calyxa.sources.scratch import free_name
 
 
 @dataclass(frozen=True)
@@ -57,8 +58,11 @@ def aggregate(df: DataFrame, keys: Sequence[Ref], aggs: Sequence[Agg | UserAgg],
     columns = [a.column(df) for a in aggs]
     if not first_seen:
         return df.groupBy(*[f"`{k}`" for k in names]).agg(*columns)
-    out = df.groupBy(*[f"`{k}`" for k in names]).agg(*columns, F.min(POS).alias("__first"))
-    return out.orderBy("__first").drop("__first")
+    seen = "__first"
+    while seen in {*names, *(a.name for a in aggs)}:
+        seen = f"_{seen}"
+    out = df.groupBy(*[f"`{k}`" for k in names]).agg(*columns, F.min(POS).alias(seen))
+    return out.orderBy(seen).drop(seen)
 
 
 def distinct_keys(df: DataFrame, keys: Sequence[Ref]) -> DataFrame:
@@ -73,6 +77,7 @@ def group_count(df: DataFrame, keys: Sequence[Ref], name: str = "n_groups") -> D
 def tickets(df: DataFrame, key: Ref, name: str = "ticket") -> DataFrame:
     """df with dense group numbers in order of first position; df must have POS."""
     k = resolve(df, key)
-    first = df.groupBy(F.col(f"`{k}`").alias("__k")).agg(F.min(POS).alias("__first"))
-    numbered = with_rank(first, ["__first"], name).select("__k", name)
-    return df.join(numbered, F.col(f"`{k}`").eqNullSafe(F.col("__k"))).drop("__k")
+    of = free_name("__k", df)
+    first = df.groupBy(F.col(f"`{k}`").alias(of)).agg(F.min(POS).alias("__first"))
+    numbered = with_rank(first, ["__first"], name).select(of, name)
+    return df.join(numbered, F.col(f"`{k}`").eqNullSafe(F.col(of))).drop(of)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from calyxa.functions.scalar import HASHED, mix_hash
 from calyxa.plans.predicates import Ref, resolve
+from calyxa.sources.scratch import free_name
 
 
 def prefixed(df: DataFrame, table: str) -> DataFrame:
@@ -75,8 +76,9 @@ def multi_join(tables: dict[str, DataFrame], first: str, steps: Sequence[JoinSte
 def member_of(df: DataFrame, column: Ref, keys: DataFrame, key: Ref = 0) -> DataFrame:
     """Rows whose value occurs among the keys: exact, each row once; nulls are in nothing."""
     name = resolve(df, column)
-    wanted = keys.select(F.col(f"`{resolve(keys, key)}`").alias("__member"))
-    return df.join(wanted, F.col(f"`{name}`") == F.col("__member"), "left_semi")
+    member = free_name("__member", df)
+    wanted = keys.select(F.col(f"`{resolve(keys, key)}`").alias(member))
+    return df.join(wanted, F.col(f"`{name}`") == F.col(member), "left_semi")
 
 
 def chain_lengths(df: DataFrame, key: Ref, buckets: int) -> DataFrame:

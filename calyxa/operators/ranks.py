@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calyxa.sources.scratch import materialized
+from calyxa.sources.scratch import free_name, materialized
 
 _BITS = 33
 
@@ -19,17 +19,18 @@ def with_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> D
     spark = df.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    placed = materialized(ordered.withColumn("__id", F.monotonically_increasing_id()))
-    part = F.shiftright("__id", _BITS)
-    starts, before = [], 0
-    for r in placed.groupBy(part.alias("part")).count().orderBy("part").collect():
-        starts.append((r["part"], before))
-        before += r["count"]
-    offsets = spark.createDataFrame(starts, "__part long, __before long")
-    place = F.col("__id").bitwiseAND(F.lit((1 << _BITS) - 1))
+    row, own, before = (free_name(n, df) for n in ("__id", "__part", "__before"))
+    placed = materialized(ordered.withColumn(row, F.monotonically_increasing_id()))
+    part = F.shiftright(row, _BITS)
+    starts, total = [], 0
+    for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():
+        starts.append((r["part"], total))
+        total += r["n"]
+    offsets = spark.createDataFrame(starts, f"{own} long, {before} long")
+    place = F.col(row).bitwiseAND(F.lit((1 << _BITS) - 1))
     return (
-        placed.withColumn("__part", part)
-        .join(F.broadcast(offsets), "__part")
-        .withColumn(name, F.col("__before") + place)
-        .drop("__part", "__before", "__id")
+        placed.withColumn(own, part)
+        .join(F.broadcast(offsets), own)  # a row for each partition
+        .withColumn(name, F.col(before) + place)
+        .drop(own, before, row)
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from calyxa.operators.ranks import with_rank
 from calyxa.plans.predicates import Ref, resolve
 from calyxa.sources.parquet import POS
+from calyxa.sources.scratch import free_name
 
 
 def literal_table(spark: SparkSession, columns: Sequence[Sequence[int]], names: Sequence[str] | None = None) -> DataFrame:
@@ -59,18 +60,20 @@ def slice_rows(df: DataFrame, start: int, end: int) -> DataFrame:
 
 def take(df: DataFrame, indices: DataFrame, index: str) -> DataFrame:
     """For each row of indices the row at its index; nulls and places beyond the end give nulls."""
-    rows = df.withColumnRenamed(POS, "__at")
-    return indices.join(rows, F.col(f"`{index}`") == F.col("__at"), "left").drop("__at")
+    at = free_name("__at", df, indices)
+    rows = df.withColumnRenamed(POS, at)
+    return indices.join(rows, F.col(f"`{index}`") == F.col(at), "left").drop(at)
 
 
 def interleave(tables: Sequence[DataFrame], indices: DataFrame, table: str, index: str) -> DataFrame:
     """For each row of indices the row at `index` of the table numbered `table`."""
+    at, of = (free_name(name, indices, *tables) for name in ("__at", "__table"))
     tagged = None
     for i, df in enumerate(tables):
-        one = df.withColumnRenamed(POS, "__at").withColumn("__table", F.lit(i))
+        one = df.withColumnRenamed(POS, at).withColumn(of, F.lit(i))
         tagged = one if tagged is None else tagged.unionByName(one)
-    on = [F.col(f"`{table}`") == F.col("__table"), F.col(f"`{index}`") == F.col("__at")]
-    return indices.join(tagged, on).drop("__table", "__at")
+    on = [F.col(f"`{table}`") == F.col(of), F.col(f"`{index}`") == F.col(at)]
+    return indices.join(tagged, on).drop(of, at)
 
 
 def shift(df: DataFrame, col: Ref, n: int, name: str) -> DataFrame:

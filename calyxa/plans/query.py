@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from calyxa.adaptive import strategies
 from calyxa.plans import predicates as P
 from calyxa.sources.parquet import POS, load, load_with_position
+from calyxa.sources.scratch import free_name
 
 
 class Op:
@@ -317,7 +318,7 @@ def compile_query(
             kind = dict(df.dtypes)[name]
             if not kind.startswith(_SORTABLE):
                 raise TypeError(f"cannot sort by {name} of type {kind}")
-            key = f"__key{len(hidden)}"
+            key = free_name(f"__key{len(hidden)}", df)
             value = F.col(f"`{name}`")
             df = df.withColumn(key, F.coalesce(value, F.lit(0).cast(kind)) if nulls == "zero" else value)
             hidden[key] = name

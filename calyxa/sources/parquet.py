@@ -6,8 +6,10 @@ column is read that the query does not use.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark import StorageLevel
@@ -16,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: The hidden column with the 0-based position of a row in its table.
 POS = "__pos"
+#: Signs of which patterns of paths are made.
+_GLOB = re.compile(r"[\[\]{}*?\\]")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -38,12 +42,16 @@ def load_with_position(spark: SparkSession, path: str, first: int | None = None)
         if first is None or before < first:
             starts.append((r["file"], before))
         before += r["count"]
+    used = df
     if len(starts) < len(counts):
-        wanted = {s for s, _ in starts}
-        df = spark.read.schema(df.schema).parquet(*[f for f in files if _plain(f) in {_plain(s) for s in wanted}])
+        wanted = {_plain(f) for f, _ in starts}
+        reader = spark.read.schema(df.schema)
+        # values of partition columns are told by the folders below the table's own
+        reader = reader if _GLOB.search(path) else reader.option("basePath", path)
+        used = reader.parquet(*[_GLOB.sub(r"\\\g<0>", unquote(f)) for f in files if _plain(f) in wanted])
     offsets = spark.createDataFrame(starts, "`calyxa file` string, `calyxa start` long")
     # a row for each file: broadcast only while Spark's own limit says so
-    placed = df.select("*", F.col("_metadata.file_path").alias("calyxa path"), F.col("_metadata.row_index").alias("calyxa row"))
+    placed = used.select("*", F.col("_metadata.file_path").alias("calyxa path"), F.col("_metadata.row_index").alias("calyxa row"))
     joined = placed.join(offsets, F.col("calyxa path") == F.col("calyxa file"))
     return joined.withColumn(POS, F.col("calyxa start") + F.col("calyxa row")).select(*[f"`{c}`" for c in df.columns], POS)
 

@@ -11,6 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: list[str] = []
 
 
+def free_name(name: str, *tables: DataFrame) -> str:
+    """`name`, with underscores in front until no column of the tables has it (in any case)."""
+    taken = {c.lower() for df in tables for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """`spark.checkpoint.dir` of the session; where that is unset, a folder of our own.
 

@@ -6,6 +6,7 @@ from calyxa.functions import scalar
 from calyxa.operators import aggregates, joins, ranks, selection, tables
 from calyxa.operators.aggregates import Agg, UserAgg
 from calyxa.plans import predicates as P
+from calyxa.plans import query as Q
 from calyxa.sources.parquet import POS
 
 
@@ -132,6 +133,21 @@ def test_runs(spark):
     assert [back[i] for i in range(8)] == xs
 
 
+def test_own_columns_clash_with_none(spark):
+    names = ["__at", "__table", "__member", "__k", "__first", "__id", "__part", "__before", "__key0"]
+    df = spark.createDataFrame([(i,) + (i % 3,) * len(names) for i in range(6)], ", ".join(f"`{c}` long" for c in [POS, *names]))
+    indices = df.select(*names, F.col("__at").alias("i"), F.lit(0).alias("t"))
+    values = df.select(POS, (F.col(POS) * 10).alias("v"))
+    assert sorted(r.v for r in tables.take(values, indices, "i").collect()) == [0, 0, 10, 10, 20, 20]
+    assert set(tables.interleave([values], indices, "t", "i").columns) == {*names, "i", "t", "v"}
+    assert joins.member_of(df, "__member", values.where("v = 10").select((F.col("v") / 10).cast("long"))).count() == 2
+    assert [r.n for r in aggregates.tickets(df, "__k", "n").orderBy(POS).collect()] == [0, 1, 2, 0, 1, 2]
+    assert aggregates.aggregate(df, ["__first"], [Agg("count", None, "n")], first_seen=True).collect() == [(0, 2), (1, 2), (2, 2)]
+    assert {r[POS]: r.r for r in ranks.with_rank(df, [F.col(POS).desc()], "r").collect()} == {i: 5 - i for i in range(6)}
+    query = Q.Query("q", (Q.LoadParquet("t"), Q.SortBy("__key0"), Q.FilterTop(3)))
+    assert Q.compile_query(spark, "", query, loader=lambda path, positions, first: df).columns == names
+
+
 def test_argsort_is_stable(spark):
     xs = [5, 1, 9, 3, 7, 0, 2, 5, 0]
     df = positioned(spark, [(x,) for x in xs], "a int")

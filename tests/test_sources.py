@@ -41,6 +41,13 @@ def test_first_rows_read_no_more_files(spark, tmp_path):
     assert len(some.inputFiles()) == 2 and sorted(r.id for r in some.collect()) == list(range(20))
 
 
+def test_first_rows_of_a_partitioned_folder(spark, tmp_path):
+    path = str(tmp_path / "a table")
+    spark.range(40).selectExpr("id", "concat('p ', id div 10) part").repartition("part").write.partitionBy("part").parquet(path)
+    some = S.load_with_position(spark, path, first=15).where("__pos < 15").orderBy("__pos").collect()
+    assert [(r.id, r.part) for r in some] == [(i, f"p {i // 10}") for i in range(15)]
+
+
 def test_cache_gives_positions(spark, path):
     cache = S.TableCache(spark, 1 << 30)
     a = cache.load(path, positions=True)
