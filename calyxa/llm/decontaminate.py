@@ -32,6 +32,8 @@ from calyxa.llm.scratch import Scratch
 WINDOW = 10
 #: Hashes of one broadcast set, different words that positions are told by, windows with their items that are broadcast for verification.
 MAX_HASHES, MAX_VOCABULARY, MAX_VERIFIED = 4_000_000, 20_000, 50_000
+#: What the one row of a text that is no window is looked up by.
+HEAD = 0
 #: Words of a document whose windows are put together at a time.
 BLOCK = 2048
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -90,9 +92,11 @@ def _scan(texts: DataFrame, hashes: DataFrame, lengths: list[int], vocabulary: l
     ]
     found += [_windows(length, vocabulary is not None) for length in lengths]
     windows = blocks.select("row", "doc_id", "n_words", F.explode(F.concat(*found)).alias("h")).select("row", "doc_id", "n_words", "h.*")
-    hashed = windows.withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("gram")))
-    known = hashes.select(F.col("hash").alias("known"))
-    return hashed.join(F.broadcast(known), F.col("hash") == F.col("known"), "left").where("at = 0 or known is not null").drop("hash", "known")
+    # heads look up a number that is put into the set; a window that happens to have it is not verified
+    head = F.lit(HEAD).cast("long")
+    hashed = windows.withColumn("hash", F.when(F.col("at") > 0, F.xxhash64("gram")).otherwise(head))
+    known = hashes.where(F.col("hash") != head).select(F.col("hash").alias("known")).union(hashes.sparkSession.range(1).select(head))
+    return hashed.join(F.broadcast(known), F.col("hash") == F.col("known")).drop("hash", "known")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, window: int = WINDOW) -> DataFrame:
