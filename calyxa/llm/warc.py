@@ -3,7 +3,8 @@
 ``write_archive`` writes one gzip member per record (so any record can be read alone)
 and returns the index: file, offset, length, url and payload digest of every record.
 ``read_records`` takes any selection of index rows, sorts them by file and offset,
-joins neighbouring ranges into one read, and parses the records found there.
+joins neighbouring ranges into one read, and parses the records found there; records are dealt
+to tasks by the bytes that are read for them, not by the size of their index rows.
 
 Each task writes a file of its own name and only the index rows of tasks that ended well
 are used, so a lost executor leaves at most a file that nothing points to.  Files go
@@ -38,6 +39,8 @@ from calyxa.llm.scratch import Scratch
 MIN_DUPLICATE = 100
 #: Bytes of one read and the largest gap that is read over.
 READ_BYTES, GAP_BYTES = 8 << 20, 64 << 10
+#: Bytes of archives that one task reads, about.
+TASK_BYTES = 256 << 20
 #: Repeated digests that are still broadcast.
 MAX_BROADCAST_DIGESTS = 50_000
 _DATE = "1970-01-01T00:00:00Z"
@@ -154,6 +157,13 @@ def _ranges(rows: list[tuple[str, int, int]]) -> Iterator[tuple[str, list[tuple[
         yield name, group
 
 
+def _tasks(index: DataFrame) -> int:
+    """Tasks that the records are read by: of TASK_BYTES at most on average; as many as run at once, if there is a read for each."""
+    total = index.agg(F.sum("length")).first()[0] or 0
+    at_once = index.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // TASK_BYTES), min(at_once, -(-total // READ_BYTES)))
+
+
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Selected index rows -> page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
@@ -194,7 +204,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
 
     reads = index.select("file", "offset", "length").withColumn("chunk", F.floor(F.col("offset") / (4 * READ_BYTES)))
     return (
-        reads.repartition(F.col("file"), F.col("chunk"))
+        reads.repartition(_tasks(reads), "file", "chunk")  # a number that is told is not coalesced
         .sortWithinPartitions("file", "offset")
         .select("file", "offset", "length")
         .mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")

@@ -49,6 +49,22 @@ def test_selected_records_and_index(spark):
     assert sorted(r.page_id for r in some) == list(range(0, 200, 7)) and all(r.url == f"http://x/{r.page_id}" for r in some)
 
 
+def test_tasks_follow_the_bytes_read(spark, monkeypatch):
+    scratch = Scratch(spark, "w")
+    folder = scratch.folder("a")
+    pages = spark.createDataFrame([(i, None, f"<p>{i}" * 50) for i in range(300)], "page_id long, url string, html string")
+    index = scratch.table(W.write_archive(W.with_revisits(pages.repartition(4), scratch), folder), "index")
+    total = index.agg({"length": "sum"}).first()[0]
+    assert W._tasks(index) == 1 and W._tasks(index.where("false")) == 1
+    monkeypatch.setattr(W, "TASK_BYTES", total // 20)
+    assert W._tasks(index) >= 20
+    assert sorted(r.page_id for r in W.read_records(index, folder).collect()) == list(range(300))
+    monkeypatch.setattr(W, "TASK_BYTES", 10 * total)
+    monkeypatch.setattr(W, "READ_BYTES", total // 50)
+    assert W._tasks(index) == spark.sparkContext.defaultParallelism
+    assert sorted(r.page_id for r in W.read_records(index, folder).collect()) == list(range(300))
+
+
 def test_ranges():
     rows = [("a", 0, 10), ("a", 10, 10), ("a", 200_000, 10), ("b", 0, 10), ("b", 10, W.READ_BYTES)]
     assert [(n, len(g)) for n, g in W._ranges(rows)] == [("a", 2), ("a", 1), ("b", 1), ("b", 1)]
