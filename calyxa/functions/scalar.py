@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,12 +43,12 @@ def _bits(value: Column) -> Column:
 
 def mix_hash(value: Column, dtype: str = "bigint") -> Column:
     """64-bit hash of an integer or of a floating-point number's bits: shift, multiply the low half, twice; as a signed long."""
-    v = _bits(value) if dtype in ("float", "double") else value.cast("long")
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 33))
-    v = _times(v.bitwiseAND(_LOW), MIX_1)
-    v = v.bitwiseXOR(F.shiftrightunsigned(v, 33))
-    v = _times(v.bitwiseAND(_LOW), MIX_2)
-    return v.bitwiseXOR(F.shiftrightunsigned(v, 33))
+    fold = lambda v: v.bitwiseXOR(F.shiftrightunsigned(v, 33))
+    steps = [fold, lambda v: _times(v.bitwiseAND(_LOW), MIX_1), fold, lambda v: _times(v.bitwiseAND(_LOW), MIX_2), fold]
+    if dtype in ("float", "double"):
+        # a call by reflection is never shared between uses, so each step binds what it uses to a variable
+        return reduce(F.transform, steps, F.array(_bits(value)))[0]
+    return reduce(lambda v, step: step(v), steps, value.cast("long"))
 
 
 _WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4}
